@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import U64, small_batches
 from .tokens import encoder
 
 #: Hashed vocabulary of the index, words of a seed that query it, neighbours asked for, and BM25's constants.
 TERMS, QUERY_TERMS, NEIGHBOURS, K1, B = 1 << 18, 24, 64, 1.2, 0.75
-#: A shard is closed at so many ids or documents.
+#: A shard is closed at so many ids or documents (fewer than 2^13, so that keys fit 32 bits).
 SHARD_IDS, SHARD_DOCS = 2_000_000, 4096
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
@@ -35,20 +35,26 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray]):
         n = self.n = len(docs)
         lens = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(n), lens) * TERMS + (np.concatenate(docs) if n else np.zeros(0, np.uint32)) % TERMS
-        pair, tf = np.unique(key.astype(np.int64), return_counts=True)
-        doc, term = pair // TERMS, pair % TERMS
+        doc = np.repeat(np.arange(n, dtype=np.uint64), lens)
+        key = np.sort((doc << U64(18)) | (np.concatenate(docs) % TERMS).astype(U64)) if n else doc
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(key)))
+        key = key[first]
+        term = (key & U64(TERMS - 1)).astype(np.int64)
         df = np.bincount(term, minlength=TERMS)
         keep = df[term] > 1  # a word of one document finds no other
-        doc, term, tf = doc[keep], term[keep], tf[keep]
+        key, term, tf = key[keep], term[keep], tf[keep]
+        doc = key >> U64(18)
+        d = doc.astype(np.int64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / max(lens.mean(), 1e-9)))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(TERMS + 1))
-        best = np.lexsort((term, -idf[term], doc))
-        self.terms = term[best]
-        self.at = np.searchsorted(doc[best], np.arange(n + 1))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[d] / max(lens.mean(), 1e-9))) if n else tf
+        order = np.argsort((term.astype(np.uint32) << np.uint32(13)) | doc.astype(np.uint32))
+        self.doc, self.weight = d[order], weight[order]
+        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=TERMS)))
+        # a document's words by falling idf
+        best = np.sort((doc << U64(32)) | (df[term].astype(U64) << U64(18)) | term.astype(U64))
+        self.terms = (best & U64(TERMS - 1)).astype(np.int64)
+        self.at = np.searchsorted(best >> U64(32), np.arange(n + 1, dtype=np.uint64))
 
     def neighbours(self, d: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share words with d, best first, ties in row order."""
@@ -113,7 +119,7 @@ def fill(sizes: list[int], index: Bm25, window: int) -> list[list[tuple[int, int
 
 def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, spaces_kept: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of ``window`` ids: ``ids`` has a piece's ids as little-endian unsigned 32-bit integers."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_kept)

@@ -23,5 +23,44 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    cut = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])[F.col("lang")] if model.thresholds else F.lit(0.7)
+    scored = score(docs.select("doc_id", "text", "lang"), model, out="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.coalesce(cut, F.lit(0.7)).alias("language_threshold"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_path
+    from .token_files import read, write
+
+    path = fresh_path(spark, "tokens")
+    manifest = write(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), path)
+    return read(spark, path, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_simhash": op4_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_ids": op7_token_ids,
+}
 ORACLES: dict[str, str] = {}

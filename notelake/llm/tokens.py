@@ -10,14 +10,21 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import Grown, Memo, ranges
 
 #: White space beyond ASCII's, and controls that Python counts as such: texts with them are encoded as a whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
+#: Characters that may follow a run of letters in a piece and surely part from it.
+PUNCTUATION = ".,;:!?*%$&#()"
+
 
 class Encoder:
     def __init__(self, path: str, spaces_kept: bool):
@@ -28,29 +35,49 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.memo = Memo(700_000)
+        self.memo = Memo(1_200_000)
         self.ids, self.start, self.len, self.terms = Grown(np.uint32), Grown(np.int64), Grown(np.int32), Grown(np.uint32)
+        # parts of pieces: a run of letters, or what follows it; the first is empty
+        self.part = Memo()
+        self.part_ids, self.part_start, self.part_len = Grown(np.uint32), Grown(np.int64), Grown(np.int32)
+        self.part[""] = 0
+        self.part_start.extend(np.zeros(1, np.int64))
+        self.part_len.extend(np.zeros(1, np.int32))
 
     def learn(self) -> None:
-        """Encode the pieces that are new."""
+        """Encode the pieces that are new; letters and the punctuation behind them are never in one token."""
         import xxhash
 
         new, self.memo.new = self.memo.new, []
         if not new:
             return
-        # a piece with a flag in front had no space before it in its text
-        plain = [(p[1:] if p[:1] == "\0" else " " + p) if self.kept else p for p in new]
-        got = [e.ids for e in self.t.encode_batch_fast(plain, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int32, len(got))
-        if self.kept:  # not a piece at all if white space touches its ends
-            bad = [(q in ("", "\0")) or q.lstrip("\0")[:1].isspace() or q[-1:].isspace() for q in new]
-            lens[np.array(bad, bool)] = -1
-            got = [[] if b else g for b, g in zip(bad, got)]
-        at = self.ids.n + np.cumsum(np.maximum(lens, 0)) - np.maximum(lens, 0)
-        self.start.extend(at)
-        self.len.extend(lens)
-        self.ids.extend(np.fromiter((i for g in got for i in g), np.uint32))
-        self.terms.extend(np.fromiter((xxhash.xxh32_intdigest(p) for p in new), np.uint32, len(new)))
+        part, kept, pairs, bad = self.part, self.kept, [], []
+        for p in new:
+            core = p.rstrip(PUNCTUATION)
+            if core.isalpha() and (core.isascii() or is_normalized("NFC", core) and core.lower().isalpha()):
+                tail = p[len(core) :]
+                pairs += (part[" " + core if kept else core.encode().lower().decode()], part[tail])
+                bad.append(False)
+            elif not kept:
+                pairs += (part[p], 0)
+                bad.append(False)
+            else:  # a piece with a flag in front had no space before it in its text
+                bad.append(p in ("", "\0") or p.lstrip("\0")[:1].isspace() or p[-1:].isspace())
+                pairs += (0 if bad[-1] else part[p[1:] if p[0] == "\0" else " " + p], 0)
+        if part.new:
+            got = [e.ids for e in self.t.encode_batch_fast(part.new, add_special_tokens=False)]
+            part.new.clear()
+            lens = np.fromiter(map(len, got), np.int32, len(got))
+            self.part_start.extend(self.part_ids.n + np.cumsum(lens) - lens)
+            self.part_len.extend(lens)
+            self.part_ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+        of = np.array(pairs, np.int64)
+        n = self.part_len.a[of]
+        lens = n.reshape(-1, 2).sum(1)
+        self.start.extend(self.ids.n + np.cumsum(lens) - lens)
+        self.ids.extend(self.part_ids.a[np.repeat(self.part_start.a[of], n) + ranges(n)])
+        self.len.extend(np.where(bad, -1, lens).astype(np.int32))  # not a piece at all if white space touches its ends
+        self.terms.extend(np.fromiter(map(xxhash.xxh32_intdigest, new), np.uint32, len(new)))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -59,28 +86,31 @@ class Encoder:
         """(ids, hashes of the words or None) of each text."""
         if self.memo.full():
             self.reset()
-        get, found = self.memo.__getitem__, []
-        for t in texts:
-            if ODD_SPACE.search(t):
-                found.append(None)
-                continue
-            if self.kept:
-                parts = t.split(" ")
-                parts[0] = "\0" + parts[0]
-                if "\0" in t:
-                    found.append(None)
-                    continue
-            else:
-                parts = t.split()
-            found.append(np.fromiter(map(get, parts), np.int64, len(parts)))
+        odd = [ODD_SPACE.search(t) is not None or "\0" in t for t in texts]
+        lines = pa.array(["" if o else "\0" + t if self.kept else t for t, o in zip(texts, odd)], pa.large_string())
+        split = pc.split_pattern(lines, " ") if self.kept else pc.ascii_split_whitespace(lines)
+        pieces = split.flatten().dictionary_encode()  # equal pieces of the batch are looked up once
+        own = pieces.dictionary
+        found = np.fromiter(map(self.memo.__getitem__, own.to_pylist()), np.int64, len(own))
         self.learn()
+        # the batch's own small tables, so that gathering stays in the processor's cache
+        n_own = self.len.a[found]
+        n = np.maximum(n_own, 0)
+        own_ids, own_start, own_terms = self.ids.a[np.repeat(self.start.a[found], n) + ranges(n)], np.cumsum(n) - n, self.terms.a[found]
+        at = pieces.indices.to_numpy(zero_copy_only=False)
+        cut = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
+        whole = np.array(odd, bool)
+        if self.kept and (n_own < 0).any():
+            whole |= np.maximum.reduceat(n_own[at] < 0, np.minimum(cut[:-1], len(at) - 1)) & (cut[1:] > cut[:-1])
+        n = n[at]
+        ids = own_ids[np.repeat(own_start[at], n) + ranges(n)]
+        ends = np.append(0, np.cumsum(n))[cut]
         out = []
-        for t, i in zip(texts, found):
-            if i is None or self.kept and (self.len.a[i] < 0).any():
+        for i, t in enumerate(texts):
+            if whole[i]:
                 out.append((self.whole(t), np.unique(np.frombuffer(t.encode()[: len(t.encode()) // 4 * 4], np.uint32)) if terms else None))
-                continue
-            n = self.len.a[i]
-            out.append((self.ids.a[np.repeat(self.start.a[i], n) + ranges(n)], self.terms.a[i] if terms else None))
+            else:
+                out.append((ids[ends[i] : ends[i + 1]], own_terms[at[cut[i] : cut[i + 1]]] if terms else None))
         return out
 
 
