@@ -140,7 +140,7 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * min(partitions(spark), 256), -(-int(total) // block_bytes))
+    n = max(2 * min(partitions(spark), 256), -(-int(total) // block_bytes))
     cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
     at = np.array(sorted(set(cuts)), np.int64)
 

@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
         raise ValueError("window must be at least 20")
     width = window - PERIOD + 1
     d, n_blocks = with_blocks(docs, id_col, text_col, BLOCK_BYTES)
-    buckets = max(2 * partitions(docs.sparkSession), n_blocks // 4)
+    buckets = max(partitions(docs.sparkSession), n_blocks // 4)
     by_block = d.groupBy("block")
 
     def ask_anchors(key: tuple, t: pa.Table) -> pa.Table:
