@@ -1,8 +1,67 @@
-"""A corpus pipeline over the operators of notelake.llm."""
+"""A corpus pipeline over the operators of notelake.llm: each stage's rows are written as Parquet and read by the next.
 
-STAGES: list = []
+Stages keep the columns of ``documents`` (packing, the last, returns pieces). Rows without an id pass all filters.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notelake.llm.common import fresh_path
+from notelake.llm.queries import table, token_file
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier, trained on all labels, scores at 0.7 or more."""
+    from notelake.llm.toxicity import fit, score
+
+    model = fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return score(docs, model, out="__score").where(F.col("__score") < 0.7).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near-duplicates; of rows with equal ids, one."""
+    from notelake.llm.similar import similar
+
+    kept = similar(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that leak a benchmark item."""
+    from notelake.llm.decontamination import leaked_udf
+
+    out = docs
+    for leaked in leaked_udf(table(spark, sf_dir, "benchmark")):
+        out = out.where(~leaked(F.col("text").cast("string")))
+    return out
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; every document stays."""
+    from notelake.llm.secrets import Forest, redact, sample_findings
+
+    return redact(docs, Forest.fit(sample_findings(spark)), path_col="source")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids."""
+    from notelake.llm.packing import pack
+
+    pieces = pack(docs, token_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
+#: Trained models, string tiling and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
