@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,50 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The rules of op9 (fixed values).
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import Forest, sample_findings, scan
+
+    return scan(table(spark, sf_dir, "documents"), Forest.fit(sample_findings(spark)), path_col="source")
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans_tree import search
+
+    return search(table(spark, sf_dir, "embeddings"), every=100)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score
+
+    return score(table(spark, sf_dir, "documents"), held_out=lambda i: zlib.crc32(str(i).encode()) % 10 == 0)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op5_neighbours": op5_neighbours,
     "op6_toxicity": op6_toxicity,
     "op7_token_ids": op7_token_ids,
+    "op8_decontamination": op8_decontamination,
+    "op9_url_filter": op9_url_filter,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 ORACLES: dict[str, str] = {}
