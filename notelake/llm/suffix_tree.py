@@ -208,7 +208,7 @@ def score(docs: DataFrame, *, held_out, least_share: float = 2e-5, divergence: f
         return np.array([i is not None and not held_out(i) for i in ids], bool)
 
     d, n_blocks = with_blocks(docs, id_col, text_col, BLOCK_BYTES)
-    buckets = max(2 * partitions(spark), n_blocks // 2)
+    buckets = max(partitions(spark), n_blocks // 2)
     words = durable(counts(plain, lambda t: t.x, trains, buckets))
     total, kinds, _ = frequent(words, 1 << 62)
     least = max(2.0, least_share * total)

@@ -3,7 +3,8 @@
 The longest rule that fits a url decides. For the rest hosts are judged: personalised PageRank spreads trust from hosts
 with allowed pages along host edges, and distrust from hosts with blocked pages against them. Host edges are the links
 of the pages' html to other hosts, counted, and the steps between a host and its parent domain. A host is blocked if
-its share of distrust, distrust / (trust + distrust), reaches the threshold; without either it is allowed.
+its share of distrust, distrust / (trust + distrust + 1 / hosts), reaches the threshold: a little distrust from afar, less
+than a host's even share, blocks nothing.
 
 Urls that are null or have no ``://`` have an empty host and path, fit no rule and are allowed. A null or empty html has
 no links. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are not read.
@@ -63,9 +64,8 @@ def propagate(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n")
     backward = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     flow = forward.union(backward)
-    total = flow.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    total = total.select("kind", F.col("src").alias("of"), "all")
-    flow = durable(flow.join(total := apart_text(total, "of"), (flow.kind == total.kind) & (flow.src == F.col("of"))).select(flow.kind, "src", "dst", (F.col("n") / F.col("all")).alias("p")))
+    total = apart_text(flow.groupBy("kind", "src").agg(F.sum("n").alias("all")), "src")
+    flow = durable(flow.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("p")))
     kind = F.when(F.col("verdict") == "allow", F.lit("trust")).otherwise(F.lit("distrust"))
     seeds = pages.where("verdict is not null and host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n"))
     sums = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
@@ -73,8 +73,8 @@ def propagate(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     rank = seeds
     base = seeds.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
     for i in range(1, ROUNDS + 1):
-        r = apart_text(rank, "host").select(F.col("kind").alias("k"), F.col("host").alias("h"), "rank")
-        moved = flow.join(r, (flow.kind == r.k) & (flow.src == r.h)).groupBy("kind", "dst").agg((F.sum(F.col("rank") * F.col("p")) * DAMPING).alias("rank"))
+        r = apart_text(rank, "host").withColumnRenamed("host", "src")
+        moved = flow.join(r, ["kind", "src"]).groupBy("kind", "dst").agg((F.sum(F.col("rank") * F.col("p")) * DAMPING).alias("rank"))
         rank = moved.select("kind", F.col("dst").alias("host"), "rank").union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % EACH == 0:
             rank = durable(rank)
@@ -87,15 +87,16 @@ def apart_text(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.concat(F.col(key), F.lit("")))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], *, threshold: float = 0.6, page_id: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], *, threshold: float = 0.5, page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict, distrust_share): rules map ``host/path`` to allow or block."""
     host, path = host_and_path(F.col("url"))
     known = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), "html")
     known = known.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))
     says = F.create_map(*[F.lit(x) for r in sorted(rules.items()) for x in r])
     known = known.withColumn("verdict", says[F.col("rule")])
-    share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
-    hosts = apart_text(propagate(known, rules).where("trust + distrust > 0").select("host", share.alias("distrust_share")), "host")
+    ranks = durable(propagate(known, rules))
+    share = F.col("distrust") / (F.col("trust") + F.col("distrust") + 1 / max(known.agg(F.count_distinct("host")).first()[0], 1))
+    hosts = apart_text(ranks.select("host", share.alias("distrust_share")), "host")
     named = known.drop("html").join(hosts, "host", "left")
     verdict = F.coalesce("verdict", F.when(F.coalesce("distrust_share", F.lit(0.0)) >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     return named.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "distrust_share")
