@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer file.
 
-Both supported files have boundaries that no token crosses: white space (``word_bpe``, which drops it) and a single
-space between two characters that are not white space (``byte_bpe``, where it opens the next token). Pieces between
-such boundaries are encoded once by the tokenizers library and remembered, so the ids are those of the whole text.
-A text with any other white space next to such a boundary goes to the library as a whole.
+Both supported kinds of file have borders that no token crosses. ``word_bpe`` drops white space, so words are on their
+own. In ``byte_bpe`` a space before a word opens the word's first token, and of other white space between words all but
+the last character is one run of tokens, the last another. So a text is cut into pieces at these borders; a piece is
+encoded once by the tokenizers library and remembered under a 64-bit hash, and texts are put together from pieces in
+numpy. A text with white space beyond ASCII's, or with an added token's string, goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -14,16 +15,67 @@ from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
-from .common import Grown, Memo, ranges
+from .common import U64, Grown, mix, ranges
+from .words import Words
 
-#: White space beyond ASCII's, and controls that Python counts as such: texts with them are encoded as a whole.
+#: White space beyond ASCII's, and marks of no width: texts with them are encoded as a whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
-
 #: Characters that may follow a run of letters in a piece and surely part from it.
 PUNCTUATION = ".,;:!?*%$&#()"
+#: The characters by which these models know the 256 bytes: printable ones stand for themselves, others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Pieces that are remembered at most; beyond, all are forgotten.
+MOST = 2_500_000
+
+
+class HashIndex:
+    """Numbers of 64-bit hashes, by open addressing in numpy."""
+
+    def __init__(self):
+        self.n = 0
+        self._room(1 << 16)
+
+    def _room(self, size: int) -> None:
+        self.keys, self.values, self.shift = np.zeros(size, U64), np.zeros(size, np.int32), U64(64 - size.bit_length() + 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if there is none."""
+        out = np.full(len(h), -1, np.int32)
+        left = np.arange(len(h))
+        slot = (h >> self.shift).astype(np.int64)
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            more = ~hit & (key != 0)
+            left, slot = left[more], (slot[more] + 1) % len(self.keys)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number new, distinct hashes in their order."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            used = self.keys != 0
+            keys, values = self.keys[used], self.values[used]
+            size = len(self.keys)
+            while size < 4 * (self.n + len(h)):
+                size *= 2
+            self._room(size)
+            self._put(keys, values)
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, v: np.ndarray) -> None:
+        slot = (h >> self.shift).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.values[slot[take]] = h[take], v[take]
+            rest = np.ones(len(h), bool)
+            rest[take] = False
+            h, v, slot = h[rest], v[rest], (slot[rest] + 1) % len(self.keys)
 
 
 class Encoder:
@@ -32,88 +84,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t, self.kept = Tokenizer.from_file(path), spaces_kept
+        #: In a text with one of these the library looks for borders on each side of it.
+        self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        self.tails: dict[str, list[int]] = {"": []}
         self.reset()
 
     def reset(self) -> None:
-        self.memo = Memo(1_200_000)
-        self.ids, self.start, self.len, self.terms = Grown(np.uint32), Grown(np.int64), Grown(np.int32), Grown(np.uint32)
-        # parts of pieces: a run of letters, or what follows it; the first is empty
-        self.part = Memo()
-        self.part_ids, self.part_start, self.part_len = Grown(np.uint32), Grown(np.int64), Grown(np.int32)
-        self.part[""] = 0
-        self.part_start.extend(np.zeros(1, np.int64))
-        self.part_len.extend(np.zeros(1, np.int32))
-
-    def learn(self) -> None:
-        """Encode the pieces that are new; letters and the punctuation behind them are never in one token."""
-        import xxhash
-
-        new, self.memo.new = self.memo.new, []
-        if not new:
-            return
-        part, kept, pairs, bad = self.part, self.kept, [], []
-        for p in new:
-            core = p.rstrip(PUNCTUATION)
-            if core.isalpha() and (core.isascii() or is_normalized("NFC", core) and core.lower().isalpha()):
-                tail = p[len(core) :]
-                pairs += (part[" " + core if kept else core.encode().lower().decode()], part[tail])
-                bad.append(False)
-            elif not kept:
-                pairs += (part[p], 0)
-                bad.append(False)
-            else:  # a piece with a flag in front had no space before it in its text
-                bad.append(p in ("", "\0") or p.lstrip("\0")[:1].isspace() or p[-1:].isspace())
-                pairs += (0 if bad[-1] else part[p[1:] if p[0] == "\0" else " " + p], 0)
-        if part.new:
-            got = [e.ids for e in self.t.encode_batch_fast(part.new, add_special_tokens=False)]
-            part.new.clear()
-            lens = np.fromiter(map(len, got), np.int32, len(got))
-            self.part_start.extend(self.part_ids.n + np.cumsum(lens) - lens)
-            self.part_len.extend(lens)
-            self.part_ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
-        of = np.array(pairs, np.int64)
-        n = self.part_len.a[of]
-        lens = n.reshape(-1, 2).sum(1)
+        self.index = HashIndex()
+        self.ids, self.start, self.len = Grown(np.uint32), Grown(np.int64), Grown(np.int32)
+
+    def pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end, text) of the pieces of all texts, in order."""
+        of = np.repeat(np.arange(len(w.lens)), w.lens)
+        if not self.kept:
+            return w.hash, w.start, w.end, of
+        # what lies between a word and what is before it in its text, and what lies behind the last word
+        text_start = w.borders - w.sizes
+        first = np.cumsum(w.lens) - w.lens
+        before = np.concatenate([[0], w.end[:-1]]) if len(w.end) else w.end
+        has = w.lens > 0
+        before[first[has]] = text_start[has]
+        gap = w.start - before
+        spaced = (gap > 0) & (w.buffer[np.maximum(w.start - 1, 0)] == 32)
+        hashes, starts, ends, texts, order = [mix(w.hash + spaced.astype(U64))], [w.start - spaced], [w.end], [of], [3 * w.start + 2]
+        run = np.flatnonzero(gap > 1)
+        one = np.flatnonzero((gap > 0) & ~spaced)
+        behind = np.where(has, w.end[np.minimum(np.cumsum(w.lens) - 1, max(len(w.end) - 1, 0))] if len(w.end) else 0, text_start)
+        last = np.flatnonzero(w.borders - 1 > behind)
+        for s, e, t in ((before[run], w.start[run] - 1, of[run]), (w.start[one] - 1, w.start[one], of[one]), (behind[last], w.borders[last] - 1, last)):
+            key = np.fromiter((hash_space(w.buffer[a:b]) for a, b in zip(s.tolist(), e.tolist())), U64, len(s))
+            for out, v in zip((hashes, starts, ends, texts, order), (key, s, e, t, 3 * s)):
+                out.append(v)
+        at = np.argsort(np.concatenate(order), kind="stable")
+        return tuple(np.concatenate(x)[at] for x in (hashes, starts, ends, texts))
+
+    def learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        """Encode pieces that are new; letters and the punctuation behind them are never in one token."""
+        tokenize, got, rest = self.t.model.tokenize, [None] * len(pieces), []
+        for i, p in enumerate(pieces):
+            body = p.rstrip(PUNCTUATION)
+            core = body[1:] if self.kept and body[:1] == " " else body
+            if not core.isalpha() or not core.isascii() and not (is_normalized("NFC", core) and "Σ" not in core and core.lower().isalpha()):
+                rest.append(i)
+                continue
+            tail = p[len(body) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": []}
+                self.tails[tail] = self.t.encode(tail, add_special_tokens=False).ids
+            # a run of letters is one word to the model, so nothing has to look for borders in it
+            run = body if self.kept else body.lower()
+            got[i] = [k.id for k in tokenize(run.encode().decode("latin-1").translate(BYTES))] + self.tails[tail]
+        for i, e in zip(rest, self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            got[i] = e.ids
+        lens = np.fromiter(map(len, got), np.int32, len(got))
         self.start.extend(self.ids.n + np.cumsum(lens) - lens)
-        self.ids.extend(self.part_ids.a[np.repeat(self.part_start.a[of], n) + ranges(n)])
-        self.len.extend(np.where(bad, -1, lens).astype(np.int32))  # not a piece at all if white space touches its ends
-        self.terms.extend(np.fromiter(map(xxhash.xxh32_intdigest, new), np.uint32, len(new)))
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
+        self.len.extend(lens)
+        self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+        self.index.add(h)
 
     def __call__(self, texts: list[str], terms: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """(ids, hashes of the words or None) of each text."""
-        if self.memo.full():
+        """(ids, hashes of the pieces or None) of each text."""
+        if self.index.n > MOST:
             self.reset()
-        odd = [ODD_SPACE.search(t) is not None or "\0" in t for t in texts]
-        lines = pa.array(["" if o else "\0" + t if self.kept else t for t, o in zip(texts, odd)], pa.large_string())
-        split = pc.split_pattern(lines, " ") if self.kept else pc.ascii_split_whitespace(lines)
-        pieces = split.flatten().dictionary_encode()  # equal pieces of the batch are looked up once
-        own = pieces.dictionary
-        found = np.fromiter(map(self.memo.__getitem__, own.to_pylist()), np.int64, len(own))
-        self.learn()
-        # the batch's own small tables, so that gathering stays in the processor's cache
-        n_own = self.len.a[found]
-        n = np.maximum(n_own, 0)
-        own_ids, own_start, own_terms = self.ids.a[np.repeat(self.start.a[found], n) + ranges(n)], np.cumsum(n) - n, self.terms.a[found]
-        at = pieces.indices.to_numpy(zero_copy_only=False)
-        cut = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))
-        whole = np.array(odd, bool)
-        if self.kept and (n_own < 0).any():
-            whole |= np.maximum.reduceat(n_own[at] < 0, np.minimum(cut[:-1], len(at) - 1)) & (cut[1:] > cut[:-1])
-        n = n[at]
-        ids = own_ids[np.repeat(own_start[at], n) + ranges(n)]
+        odd = [ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        w = Words([b"" if o else t.encode() for t, o in zip(texts, odd)])
+        h, start, end, of = self.pieces(w)
+        found = self.index.find(h)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            flat = w.buffer.tobytes()
+            self.learn(new, [flat[a:b].decode() for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())])
+            found[miss] = self.index.find(h[miss])
+        n = self.len.a[found]
+        ids = self.ids.a[np.repeat(self.start.a[found], n) + ranges(n)]
+        cut = np.append(0, np.cumsum(np.bincount(of, minlength=len(texts))))
         ends = np.append(0, np.cumsum(n))[cut]
+        term = (h & U64(0xFFFFFFFF)).astype(np.uint32) if terms else None
         out = []
         for i, t in enumerate(texts):
-            if whole[i]:
-                out.append((self.whole(t), np.unique(np.frombuffer(t.encode()[: len(t.encode()) // 4 * 4], np.uint32)) if terms else None))
+            if odd[i]:
+                parts = Words([t.encode()]).hash if terms else None
+                out.append((np.array(self.t.encode(t, add_special_tokens=False).ids, np.uint32), None if parts is None else (parts & U64(0xFFFFFFFF)).astype(np.uint32)))
             else:
-                out.append((ids[ends[i] : ends[i + 1]], own_terms[at[cut[i] : cut[i + 1]]] if terms else None))
+                out.append((ids[ends[i] : ends[i + 1]], None if term is None else term[cut[i] : cut[i + 1]]))
         return out
 
 
+def hash_space(x: np.ndarray) -> int:
+    """Of white space alone, so that no word has the same but by chance."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b"\n" + x.tobytes()) or 1
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
