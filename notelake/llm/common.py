@@ -56,7 +56,7 @@ def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
 class Memo(dict):
     """Word -> index; words not seen before queue up in ``new``. Emptied beyond ``bound`` words, so memory stays fixed."""
 
-    def __init__(self, bound: int = 600_000):
+    def __init__(self, bound: int = 300_000):
         super().__init__()
         self.new: list = []
         self.bound = bound

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, partitions, ranges, small_batches, texts, with_blocks, word_hashes
+from .common import U64, durable, mix, partitions, ranges, small_batches, texts, with_blocks
+from .words import Words
 
-BLOCK_BYTES = 8 << 20
-#: Hash of the end token: of a text that no word can be.
-END = b"\n"
+BLOCK_BYTES = 4 << 20
+#: Hash of the end token.
+END = U64(0x5EED0FE4D0FDA7A1)
 ADD = 0.1
 
 
@@ -55,10 +56,11 @@ class Tokens:
     """Words of documents, one after the other, each document closed by the end token."""
 
     def __init__(self, docs: list[bytes], train: np.ndarray):
-        words = [d.lower().split() for d in docs]
-        self.lens = np.array([len(w) + 1 for w in words], np.int64)
-        hashes = word_hashes()
-        self.x = np.concatenate([hashes([*w, END]) for w in words]) if words else np.zeros(0, U64)
+        w = Words(docs, fold=True)
+        self.lens = w.lens + 1
+        of = np.repeat(np.arange(len(docs)), w.lens)
+        self.x = np.full(len(of) + len(docs), END, U64)
+        self.x[np.arange(len(of)) + of] = w.hash
         self.ends = np.cumsum(self.lens)
         self.train = np.repeat(train, self.lens)
         self.pos = ranges(self.lens)
