@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, partitions, texts, with_blocks, word_hashes
+from .common import U64, mix, partitions, texts, with_blocks
+from .words import Words
 
 #: A perfect difference set (fixed values): every residue modulo 13 is a difference of two of them.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -54,11 +55,9 @@ class Block:
         ids, raw = t.column("doc_id").to_pylist(), texts(t)
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, raw[i]))
         self.ids = [ids[i] for i in order]
-        self.words = [raw[i].split() for i in order]  # bytes.split() parts at exactly the six ASCII white spaces
-        self.lens = np.array([len(w) for w in self.words], np.int64)
+        self.words = Words([raw[i] for i in order])
+        self.lens, self.x = self.words.lens, self.words.hash
         self.ends = np.cumsum(self.lens)
-        hashes = word_hashes()
-        self.x = np.concatenate([hashes(w) for w in self.words]) if self.words else np.zeros(0, U64)
         self.pos = np.arange(len(self.x)) - np.repeat(self.ends - self.lens, self.lens)
         self.left = np.repeat(self.ends, self.lens) - np.arange(len(self.x))  # words from here to the document's end
 
@@ -171,13 +170,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
             np.add.at(gone, ok[again], 1)
             np.add.at(gone, ok[again] + window, -1)
         keep = np.cumsum(gone)[:-1] == 0
-        kept, removed, start = [], [], 0
-        for words, n in zip(b.words, b.lens):
-            k = keep[start : start + n]
-            some = int(k.sum())
-            removed.append(n - some)
-            kept.append(b" ".join(words if some == n else [w for w, y in zip(words, k) if y]).decode())
-            start += n
+        before = np.append(0, np.cumsum(keep))
+        removed = b.lens - (before[b.ends] - before[b.ends - b.lens])
+        kept = [k.decode() for k in b.words.joined(keep)]
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_words": pa.array(b.lens, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     def merge_anchors(key: tuple, t: pa.Table) -> pa.Table:
