@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, several filter widths, max pooling, in numpy.
 
-A word's vector is the sum of three hashed embeddings: of the word, and of its first four and five characters, so that
+A word's vector is the sum of three hashed embeddings: of the word, and of its first four and five bytes, so that
 an inflected form of a known stem is known too. Filters of widths 1 to 3 run over the whole text, are max-pooled, and
 a logistic layer makes the score. The model is fitted on the driver on a bounded sample of labelled rows
 (``max_rows``; rare labels first, ordered by a hash of the id); it is small and sent to the executors as it is. A score
@@ -14,7 +14,6 @@ gives no rows. Very long texts are scored whole, in bounded memory. Other column
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,23 +21,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grown, Memo, small_batches
+from .common import U64, ranges, small_batches
+from .words import Words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 12, (1, 2, 3), 8
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Words are runs of ASCII letters and of bytes beyond ASCII.
+NO_LETTER = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
+STEMS = (4, 5)
 #: Words of one piece of the convolution.
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 
-def features(word: bytes) -> tuple[int, int, int]:
-    """Rows of the embedding table: the word without punctuation in lower case, and its stems; row 0 is empty."""
-    import xxhash
-
-    w = NOT_LETTERS.sub("", word.decode("utf-8", "replace").lower())
-    if not w:
-        return 0, 0, 0
-    row = lambda kind, s: 1 + xxhash.xxh3_64_intdigest(kind + s.encode()) % (BUCKETS - 1)
-    return row(b"w", w), row(b"4", w[:4]) if len(w) > 4 else 0, row(b"5", w[:5]) if len(w) > 5 else 0
+def features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Three rows of the embedding table for each word, one text after the other, and the texts' numbers of words; row 0 is empty."""
+    w = Words(docs, fold=True, space=NO_LETTER, prefixes=STEMS)
+    row = lambda h: np.where(h == 0, 0, 1 + (h >> U64(20)) % U64(BUCKETS - 1)).astype(np.int32)
+    return np.stack([row(w.hash), *map(row, w.heads)], 1), w.lens
 
 
 @dataclass
@@ -52,21 +50,6 @@ class Model:
     out_bias: float
     scale: tuple[float, float] = (1.0, 0.0)
     thresholds: dict[str, float] = field(default_factory=dict)
-    memo: Memo | None = None
-    rows: Grown | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"memo": None, "rows": None}
-
-    def words(self, ws: list[bytes]) -> np.ndarray:
-        """Indices into ``rows``, which holds the three table rows of each remembered word."""
-        if self.memo is None or self.memo.full():
-            self.memo, self.rows = Memo(), Grown(np.int32, 3)
-        idx = np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws))
-        if self.memo.new:
-            self.rows.extend(np.array([features(w) for w in self.memo.new], np.int32))
-            self.memo.new.clear()
-        return self.rows.a[idx]
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return self.table[rows[:, 0]] + self.table[rows[:, 1]] + self.table[rows[:, 2]]
@@ -90,37 +73,36 @@ class Model:
         return (pooled @ self.out + self.out_bias) * self.scale[0] + self.scale[1]
 
     def score(self, docs: list[bytes]) -> np.ndarray:
-        """Scores of whole texts; one of more than PIECE words is pooled piece by piece, with two words of overlap."""
-        parts, owner = [], []
-        for i, d in enumerate(docs):
-            ws = d.split()
-            for at in range(0, max(len(ws), 1), PIECE):
-                parts.append(ws[at : at + PIECE + 2] if len(ws) > PIECE else ws)
-                owner.append(i)
-        pooled = np.zeros((len(docs), sum(f.shape[2] for f in self.filters)), np.float32)
+        """Scores of whole texts, some pieces at a time; a piece of a long text overlaps the next by two words."""
+        if not docs:
+            return np.zeros(0)
+        rows, lens = features(docs)
+        first = np.cumsum(lens) - lens
+        pooled = np.zeros((len(docs), len(self.out)), np.float32)
+        owner = np.repeat(np.arange(len(docs)), np.maximum(-(-lens // PIECE), 1))
+        start = ranges(np.maximum(-(-lens // PIECE), 1)) * PIECE
+        size = np.minimum(lens[owner] - start, PIECE + 2)
         at = 0
-        while at < len(parts):
-            n, to = 0, at
-            while to < len(parts) and (to == at or n + len(parts[to]) <= PIECE):
-                n += len(parts[to]) + 2
-                to += 1
-            rows, starts, ends = self.rows_of(parts[at:to])
-            top, _ = self.pool(self.embed(rows), starts, ends)
-            np.maximum.at(pooled, np.array(owner[at:to]), top)
+        while at < len(owner):
+            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), PIECE, side="right")) + at)
+            padded, starts, ends = spread(rows, (first[owner] + start)[at:to], size[at:to])
+            top, _ = self.pool(self.embed(padded), starts, ends)
+            np.maximum.at(pooled, owner[at:to], top)
             at = to
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled.astype(np.float64)), -30, 30)))
 
-    def rows_of(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lens = np.array([max(len(p), 1) for p in parts])
-        starts = np.cumsum(lens + 2) - lens - 2
-        rows = np.zeros((int((lens + 2).sum()), 3), np.int32)
-        got = self.words([w for p in parts for w in p])
-        real = np.array([len(p) for p in parts])
-        rows[np.repeat(starts - (np.cumsum(real) - real), real) + np.arange(len(got))] = got
-        return rows, starts, starts + lens
+
+def spread(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of rows, each of one row at least and followed by two empty ones; where they start and end."""
+    room = np.maximum(size, 1)
+    starts = np.cumsum(room + 2) - room - 2
+    out = np.zeros((int((room + 2).sum()), 3), np.int32)
+    step = ranges(size)
+    out[np.repeat(starts, size) + step] = rows[np.repeat(first, size) + step]
+    return out, starts, starts + room
 
 
-def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: int = 6, rate: float = 0.05, seed: int = 7) -> Model:
+def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: int = 4, rate: float = 0.05, seed: int = 7) -> Model:
     """Fit by Adagrad; embeddings start from the log-odds of their bucket among the training texts."""
     rng = np.random.default_rng(seed)
     n_out = len(WIDTHS) * FILTERS
@@ -133,13 +115,15 @@ def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: in
     if labels.min(initial=1) == labels.max(initial=0):
         model.out[:], model.out_bias = 0, -30.0
         return model
-    parts = [d.split() for d in docs]
-    rows = [model.words(p) if p else np.zeros((1, 3), np.int32) for p in parts]
+    all_words, lens = features(docs)
+    first = np.cumsum(lens) - lens
     seen = np.zeros((2, BUCKETS), np.float32)
-    for r, y in zip(rows, labels):
-        seen[int(y), np.unique(r)] += 1
+    for a, n, y in zip(first, lens, labels):
+        seen[int(y), np.unique(all_words[a : a + n])] += 1
     odds = np.log((seen[1] + 0.1) / (labels.sum() + 0.2)) - np.log((seen[0] + 0.1) / ((1 - labels).sum() + 0.2))
-    model.table[:, 0] = np.where(seen.sum(0) >= 8, np.clip(odds, -3, 4) / 4, 0)
+    # a cautious estimate: what is left of the log-odds after its own uncertainty
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)), 0)
+    model.table[:, 0] = np.where(seen.sum(0) >= 3, np.clip(odds, -3, 4) / 4, 0)
     model.table[0] = 0
     for f in model.filters:
         f[0, 0] = np.abs(f[0, 0]) + 0.7
@@ -161,13 +145,9 @@ def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: in
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), 32):
             batch = order[lo : lo + 32]
-            lens = np.array([len(rows[i]) for i in batch])
-            starts = np.cumsum(lens + 2) - lens - 2
-            all_rows = np.zeros((int((lens + 2).sum()), 3), np.int32)
-            for s, i in zip(starts, batch):
-                all_rows[s : s + len(rows[i])] = rows[i]
+            all_rows, starts, ends = spread(all_words, first[batch], lens[batch])
             vec = model.embed(all_rows)
-            pooled, places = model.pool(vec, starts, starts + lens, True)
+            pooled, places = model.pool(vec, starts, ends, True)
             p = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.out_bias, -30, 30)))
             err = (p - labels[batch]) * weight[batch] / len(batch)
             back = err[:, None] * model.out * (pooled > 0)
@@ -176,7 +156,7 @@ def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: in
             acc += bias_grad**2
             model.out_bias -= rate * bias_grad / float(np.sqrt(acc[0] + 1e-6))
             step("out", None, model.out, pooled.T @ err)
-            table_grad: dict[int, np.ndarray] = {}
+            touched, flows = [], []
             for k, (f, place) in enumerate(zip(model.filters, places)):
                 g = back[:, k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
                 grad_f = np.zeros_like(f)
@@ -184,18 +164,16 @@ def train(docs: list[bytes], labels: np.ndarray, langs: list[str], *, epochs: in
                 for j in range(len(f)):
                     at = place[d, q] + j
                     np.add.at(grad_f[j].T, q, g[d, q, None] * vec[at])
-                    flow = g[d, q, None] * f[j][:, q].T
-                    for a, v in zip(at, flow):
-                        for row in all_rows[a]:
-                            if row:
-                                table_grad[row] = table_grad.get(row, 0) + v
+                    touched.append(all_rows[at].ravel())
+                    flows.append(np.repeat(g[d, q, None] * f[j][:, q].T, 3, axis=0))
                 step(("b", k), None, model.bias[k], g.sum(0))
                 step(("f", k), None, f, grad_f)
-            if table_grad:
-                at = np.fromiter(table_grad, np.int64)
-                step("table", at, model.table, np.array([table_grad[i] for i in at]))
+            row, of = np.unique(np.concatenate(touched), return_inverse=True)
+            grad = np.zeros((len(row), DIM), np.float32)
+            np.add.at(grad, of, np.concatenate(flows))
+            some = row > 0
+            step("table", row[some], model.table, grad[some])
     calibrate(model, docs, labels, langs)
-    model.memo = model.rows = None
     return model
 
 

@@ -1,6 +1,6 @@
 """Words of whole texts as spans and 64-bit hashes, in numpy: no object is made for a word.
 
-A word is a run of bytes other than the six ASCII white spaces. Its hash is a polynomial over a table of random numbers
+A word is a run of bytes other than the six ASCII white spaces (or than those that ``space`` marks, line ends among them). Its hash is a polynomial over a table of random numbers
 for bytes, modulo 2^64, read off running sums; texts are hashed in pieces of about a megabyte, cut at white space.
 """
 
@@ -37,31 +37,36 @@ _powers = _Powers()
 class Words:
     """``buffer`` has all texts, each with a line end behind it; ``start`` and ``end`` are places in it, ``lens`` words for each text."""
 
-    def __init__(self, docs: list[bytes], *, fold: bool = False, hashed: bool = True):
+    def __init__(self, docs: list[bytes], *, fold: bool = False, space: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
         self.buffer = np.frombuffer(b"".join(x for d in docs for x in (d, b"\n")), np.uint8)
         #: Of each text, its bytes with the line end, and where that ends in the buffer.
         self.sizes = np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs))
         self.borders = np.cumsum(self.sizes)
         n, at = len(self.buffer), 0
-        starts, ends, hashes = [], [], []
+        starts, ends, hashes, heads = [], [], [], [[] for _ in prefixes]
         while at < n:
             to = min(n, at + PIECE)
-            while to < n and not SPACE[self.buffer[to - 1]]:  # up to the next white space
-                gap = np.flatnonzero(SPACE[self.buffer[to : to + 4096]])
+            while to < n and not space[self.buffer[to - 1]]:  # up to the next white space
+                gap = np.flatnonzero(space[self.buffer[to : to + 4096]])
                 to = to + int(gap[0]) + 1 if len(gap) else min(n, to + 4096)
             part = self.buffer[at:to]
-            space = SPACE[part]
-            start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-            end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-            if hashed:
-                _powers.need(len(part) + 1)
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum((_FOLDED if fold else _TABLE)[part] * _powers.up[: len(part)])])
-                hashes.append(mix((sums[end] - sums[start]) * _powers.down[start]))
+            blank = space[part]
+            start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+            end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+            _powers.need(len(part) + 1)
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum((_FOLDED if fold else _TABLE)[part] * _powers.up[: len(part)])])
+            down = _powers.down[start]
+            hashes.append(mix((sums[end] - sums[start]) * down))
+            for n_bytes, out in zip(prefixes, heads):
+                h = mix((sums[np.minimum(start + n_bytes, end)] - sums[start]) * down + U64(n_bytes))
+                out.append(np.where(end - start > n_bytes, h, U64(0)))
             starts.append(start + at)
             ends.append(end + at)
             at = to
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.end, self.hash = cat(starts, np.int64), cat(ends, np.int64), cat(hashes, U64)
+        #: Hashes of words' first bytes, 0 for words that have no more.
+        self.heads = [cat(x, U64) for x in heads]
         self.lens = np.diff(np.append(0, np.searchsorted(self.start, self.borders)))
 
     def joined(self, keep: np.ndarray) -> list[bytes]:
