@@ -324,7 +324,7 @@ def frontmatter(spark, sf):
     return made(spark, sf).select("part", F.col("path"), F.explode(C.chunks("text")).alias("c")).where("c.chunk_index = 0").select("part", "c.title", "c.tags", "c.frontmatter_date")
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS part, unnest([0, 1]) AS chunk_index, unnest([p_type, p_type || ' > Notes']) AS parent_header, unnest([CAST(length(p_brand) + 2 * length(p_name) + length(CAST((p_partkey * 7) % 500 AS STRING)) + length(CAST(p_partkey % 10 AS STRING)) + length(CAST(p_size AS STRING)) + 71 AS BIGINT), CAST(9 + length(CAST(p_size AS STRING)) + length(p_type) AS BIGINT)]) AS n_chars FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS part, unnest([0, 1]) AS chunk_index, unnest([p_type, p_type || ' > Notes']) AS parent_header, unnest([CAST(length(p_brand) + 2 * length(p_name) + length(CAST((p_partkey * 7) % 500 AS STRING)) + length(CAST(p_partkey % 10 AS STRING)) + length(CAST(p_size AS STRING)) + 73 AS BIGINT), CAST(9 + length(CAST(p_size AS STRING)) + length(p_type) AS BIGINT)]) AS n_chars FROM part")
 def chunk_headers(spark, sf):
     rows = made(spark, sf).select("part", F.explode(C.chunks("text")).alias("c"))
     return rows.select("part", "c.chunk_index", "c.parent_header", F.char_length("c.content").cast("long").alias("n_chars"))
