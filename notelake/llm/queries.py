@@ -54,8 +54,8 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read, write
 
     path = fresh_path(spark, "tokens")
-    manifest = write(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), path)
-    return read(spark, path, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), path)
+    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 #: The rules of op9 (fixed values).

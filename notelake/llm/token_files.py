@@ -1,16 +1,17 @@
 """Token ids of a corpus in binary files: canonical length-limited Huffman codes from global counts.
 
-File (little-endian): magic ``NLHF``, number of symbols, of documents, of segments and of data bytes (4 unsigned longs);
-the symbols and their code lengths; the documents' ids (signed longs, with a byte each that tells a null id) and their
+File (little-endian): magic ``NLHF``, number of symbols, of documents, of segments and of data bytes, and of the corpus's
+ids before this file (5 unsigned longs); the symbols and their code lengths; the documents' ids (signed longs, with a byte each that tells a null id) and their
 numbers of ids; the bit length of each segment of 128 ids, whose running sums are the bit-offset checkpoints from which
 segments are decoded on their own; the bits. Every file carries the code, so each can be read by itself.
 
 Files are numbered so that their order, and the order of documents in them, is that of ascending doc_id; a file holds a
 bounded number of encoded bytes. They are written under a temporary name and renamed, so a task that runs twice leaves
-the same file. A manifest with a row for each file gives the number of ids before it.
+the same file. The numbers of ids before a file follow from sums of the tokenised table, which has one row for each
+document and is dropped at the end; so reading joins and shuffles nothing.
 
 Null texts are empty (the end id alone). Null ids come first. Rows with the same doc_id follow each other in the order of
-their ids. An empty table gives an empty manifest and no files. Other columns are not read.
+their ids. An empty table gives no files. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import durable, fresh_path, partitions, small_batches
 from .huffman import SEGMENT, Code, ranges
@@ -43,9 +43,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, spaces_kept: bool, i
         for b in batches:
             got = [np.append(x, np.uint32(end_id)) for x, _ in enc([t or "" for t in b.column(1).to_pylist()])]
             small = [not (x >> 16).any() for x in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u2" if s else "<u4").tobytes() for x, s in zip(got, small)], pa.binary()), pa.array(small)], names=["doc_id", "ids", "small"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u2" if s else "<u4").tobytes() for x, s in zip(got, small)], pa.binary()), pa.array(small), pa.array([len(x) for x in got], pa.int64())], names=["doc_id", "ids", "small", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, small boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, small boolean, n long")
 
 
 def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -71,34 +71,48 @@ def global_counts(ids: DataFrame) -> Code:
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces_kept: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write files to the folder ``path`` and return the manifest (file, n_docs, n_ids, first_id)."""
+    """Write files to the folder ``path`` and return what they hold: (file, n_docs, n_ids, first_id)."""
     spark = docs.sparkSession
     n = max(partitions(spark), 1)
     held = fresh_path(spark, "ids")
+    store, p = folder(spark, path)
+    store.mkdirs(p)
     tokenised(docs, tokenizer, end_id, spaces_kept, id_col, text_col).write.option("compression", "zstd").parquet(held)
     ids = spark.read.parquet(held)
     code = spark.sparkContext.broadcast(global_counts(ids))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [1.0], max(10_000, 10 * n))).first()[0] or []
     at = np.array(sorted(set(cuts)), np.int64)
 
+    def parts(b: pa.RecordBatch) -> np.ndarray:
+        return np.searchsorted(at, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(at) + 1)
+        for b in batches:
+            total += np.bincount(parts(b), b.column("n").to_numpy(), len(at) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.astype(np.int64))], names=["part", "n"])
+
+    # one number for each range of ids, of which there are as many as shuffle partitions
+    summed = dict(ids.select("doc_id", "n").mapInArrow(sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect())
+    first_ids = [0, *np.cumsum([summed.get(i, 0) for i in range(len(at) + 1)]).tolist()]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(at, doc, side="right")
+            part = parts(b)
             got = [code.value.pack(x) for x in arrays(b)]
-            cols = [b.column("doc_id"), pa.array(part, pa.int32()), pa.array([len(x) for x in arrays(b)], pa.int64()), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
+            cols = [b.column("doc_id"), pa.array(part, pa.int32()), b.column("n"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "n", "bits", "segments"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        size, part, seq = 0, None, 0
+        size, part, seq, first = 0, None, 0, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal rows, size, seq
-            file = (part << 31) + seq
-            put(path, f"{file:019d}.nlhf", pack_file(code.value, rows))
-            got = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (file, len(rows), sum(r[1] for r in rows))], names=["file", "n_docs", "n_ids"])
-            rows, size, seq = [], 0, seq + 1
+            nonlocal rows, size, seq, first
+            file, n = (part << 31) + seq, sum(r[1] for r in rows)
+            put(path, f"{file:019d}.nlhf", pack_file(code.value, rows, first))
+            got = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (file, len(rows), n, first)], names=["file", "n_docs", "n_ids", "first_id"])
+            rows, size, seq, first = [], 0, seq + 1, first + n
             return got
 
         for b in batches:
@@ -106,34 +120,34 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
                 if rows and (p != part or size >= FILE_BYTES):
                     yield close()
                 if p != part:
-                    part, seq = p, 0
+                    part, seq, first = p, 0, first_ids[p]
                 rows.append((doc, k, bits, segments))
                 size += len(bits)
         if rows:
             yield close()
 
     coded = ids.mapInArrow(encode, "doc_id long, part int, n long, bits binary, segments binary")
-    manifest = durable(coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "bits").mapInArrow(save, "file long, n_docs long, n_ids long"))
-    remove(spark, held)
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("first_id", before)
+    manifest = durable(coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "bits").mapInArrow(save, "file long, n_docs long, n_ids long, first_id long"))
+    store, p = folder(spark, held)
+    store.delete(p, True)
+    return manifest
 
 
-def pack_file(code: Code, rows: list[tuple]) -> bytes:
+def pack_file(code: Code, rows: list[tuple], first: int) -> bytes:
     ids = np.array([r[0] or 0 for r in rows], "<i8")
     null = np.array([r[0] is None for r in rows], np.uint8)
     counts = np.array([r[1] for r in rows], "<u8")
     segments, bits = b"".join(r[3] for r in rows), b"".join(r[2] for r in rows)
-    head = MAGIC + struct.pack("<4Q", len(code.symbols), len(rows), len(segments) // 2, len(bits))
+    head = MAGIC + struct.pack("<5Q", len(code.symbols), len(rows), len(segments) // 2, len(bits), first)
     return b"".join([head, code.symbols.astype("<u4").tobytes(), code.lengths.astype(np.uint8).tobytes(), ids.tobytes(), null.tobytes(), counts.tobytes(), segments, bits])
 
 
-def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Documents' ids, their numbers of ids, and all ids one after the other."""
+def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """Documents' ids, their numbers of ids, all ids one after the other, and the number of ids before the file."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
-    n_symbols, n_docs, n_segments, n_bits = struct.unpack("<4Q", data[4:36])
-    at = 36
+    n_symbols, n_docs, n_segments, n_bits, before = struct.unpack("<5Q", data[4:44])
+    at = 44
 
     def take(kind, n):
         nonlocal at
@@ -152,27 +166,25 @@ def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     inner = np.cumsum(lengths) - lengths
     starts = doc_start[of] + inner - (np.cumsum(doc_bits) - doc_bits)[of]
     sizes = np.minimum(counts[of] - ranges(per_doc) * SEGMENT, SEGMENT)
-    return [None if x else int(d) for d, x in zip(docs, null)], counts, code.unpack(bits, starts, sizes)
+    return [None if x else int(d) for d, x in zip(docs, null)], counts, code.unpack(bits, starts, sizes), before
 
 
-def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                docs, counts, ids = unpack_file(content)
-                ids = ids.astype("<u4")
-                ends = np.cumsum(counts)
-                file = int(name.rsplit("/", 1)[-1].split(".")[0])
+            for content in b.column("content").to_pylist():
+                docs, counts, ids, before = unpack_file(content)
+                ids, ends = ids.astype("<u4"), np.cumsum(counts)
                 for lo in range(0, len(docs), 500):
                     part = range(lo, min(lo + 500, len(docs)))
-                    yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in part], pa.int64()), pa.array([file] * len(part), pa.int64()), pa.array((ends - counts)[lo : lo + 500], pa.int64()), pa.array(counts[lo : lo + 500], pa.int64()), pa.array([ids[ends[i] - counts[i] : ends[i]].tobytes() for i in part], pa.binary())], names=["doc_id", "file", "local", "n_tokens", "ids"])
+                    cols = [pa.array([docs[i] for i in part], pa.int64()), pa.array((ends - counts)[lo : lo + 500] + before, pa.int64()), pa.array(counts[lo : lo + 500], pa.int64()), pa.array([ids[ends[i] - counts[i] : ends[i]].tobytes() for i in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
-    docs = files.mapInArrow(run, "doc_id long, file long, local long, n_tokens long, ids binary")
-    return docs.join(manifest.select("file", "first_id"), "file").select("doc_id", (F.col("local") + F.col("first_id")).alias("start"), "n_tokens", "ids")
+    small_batches(spark, 1)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def put(folder: str, name: str, data: bytes) -> None:
@@ -187,7 +199,7 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(temporary, f"{root}/{name}")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def folder(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop knows them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
