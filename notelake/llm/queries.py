@@ -7,6 +7,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .url_filter import sql as url_filter_sql
+
 
 def token_file(name: str) -> str:
     import public_tokenizers
@@ -104,4 +106,14 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_suffix_tree": op10_suffix_tree,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+k AS (SELECT *, string_agg(word, ' ') OVER n AS run, count(*) OVER n AS size FROM t WINDOW n AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT *, size = 20 AND row_number() OVER (PARTITION BY run, size ORDER BY doc_id, pos) > 1 AS again FROM k),
+g AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+    "op9_url_filter": url_filter_sql(URL_RULES),
+}

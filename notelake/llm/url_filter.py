@@ -100,3 +100,29 @@ def judge(pages: DataFrame, rules: dict[str, str], *, threshold: float = 0.5, pa
     named = known.drop("html").join(hosts, "host", "left")
     verdict = F.coalesce("verdict", F.when(F.coalesce("distrust_share", F.lit(0.0)) >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     return named.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "distrust_share")
+
+
+def sql(rules: dict[str, str], threshold: float = 0.5) -> str:
+    """The same in DuckDB's SQL over the view ``pages``, round by round."""
+    link = LINK.replace("'", "''")
+    fit = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    rule = "CASE " + " ".join(f"WHEN {fit(r)} THEN '{r}'" for r in sorted(rules, key=lambda r: (-len(r), r))) + " END"
+    says = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in sorted(rules.items())) + " END"
+    low = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    rounds = ["r0 AS (SELECT kind, host, rank FROM seeds)"]
+    for i in range(1, ROUNDS + 1):
+        rounds.append(f"r{i} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, dst AS host, {DAMPING} * rank * p AS rank FROM flow JOIN r{i - 1} USING (kind) WHERE src = host UNION ALL SELECT kind, host, {1 - DAMPING} * rank FROM seeds) GROUP BY 1, 2)")
+    return f"""
+WITH h AS (SELECT page_id, html, coalesce({low.format(f"regexp_extract(url, '{URL}', 1)")}, '') AS host, coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),
+k AS (SELECT *, {says} AS verdict FROM (SELECT *, {rule} AS rule FROM h)),
+linked AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {low.format("d")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS d FROM k)) WHERE src <> '' AND src <> dst GROUP BY 1, 2),
+hosts AS (SELECT DISTINCT string_split(host, '.') AS l FROM (SELECT host FROM k WHERE host <> '' UNION SELECT dst FROM linked)),
+steps AS (SELECT DISTINCT array_to_string(l[i:], '.') AS a, array_to_string(l[i + 1:], '.') AS b FROM (SELECT l, unnest(range(1, greatest(len(l) - 1, 1))) AS i FROM hosts)),
+edges AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM linked UNION ALL SELECT a, b, 1 FROM steps UNION ALL SELECT b, a, 1 FROM steps) GROUP BY 1, 2),
+ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+flow AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS p FROM ways),
+counted AS (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM k WHERE verdict IS NOT NULL AND host <> '' GROUP BY 1, 2),
+seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS rank FROM counted),
+{", ".join(rounds)},
+ranks AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS t, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS d FROM r{ROUNDS} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(d / (t + d + 1.0 / (SELECT greatest(count(DISTINCT host), 1) FROM k)), 0) >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN ranks USING (host)"""
