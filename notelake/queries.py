@@ -264,7 +264,7 @@ def rrf_one_sided(spark, sf):
     return rounded(ranking.fuse(*legs(spark, sf), 40, alpha=0.0), "score")
 
 
-@query(fused_sql("0.5", "0.5").replace("r2 <= 20", "r2 <= 10"))
+@query(fused_sql("0.5", "0.5").replace("QUALIFY r2 <= 20", "WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY r2 <= 10"))
 def hybrid(spark, sf):
     # titles and marks are empty, so no boost changes the legs; documents without a vector come from keywords alone
     chunks = docs(spark, sf).withColumn("title", F.lit("")).withColumn("emphasized_text", F.lit(""))
