@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, small_batches, texts, word_hashes
+from .common import U64, durable, mix, small_batches, texts
 from .components import apart, components
+from .words import Words
 
 BITS, CHUNK = 128, 4096
 
@@ -55,25 +56,30 @@ def segments(hi: np.ndarray, lo: np.ndarray, n: int) -> list[np.ndarray]:
 
 def linked(hi: np.ndarray, lo: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
     """Links (by position) that span the groups of fingerprints whose segment ``start`` is equal."""
-    m = distance + 1
+    m, n = distance + 1, len(hi)
     parts = segments(hi, lo, m)
-    parts = [parts[(start + k) % m].astype(np.uint32) for k in range(m)]
+    parts = [parts[(start + k) % m].astype(np.uint16) for k in range(m)]
     x, y = hi.view(U64), lo.view(U64)
-    rest, out = np.arange(len(x)), []
-    while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            u = queue.pop()
-            some, gone = rest, np.zeros(len(rest), np.int64)
-            for k in range(1, 5):  # chains of two to five segments; the first is equal
-                gone = gone + np.bitwise_count(parts[k][some] ^ parts[k][u])
-                ok = gone <= (k + 1) * distance // m
-                some, gone = some[ok], gone[ok]
-            near = some[np.bitwise_count(x[some] ^ x[u]).astype(np.int64) + np.bitwise_count(y[some] ^ y[u]) <= distance]
-            if len(near):
-                out += [(u, int(v)) for v in near]
-                queue += near.tolist()
-                rest = np.setdiff1d(rest, near, assume_unique=True)
+    label, out = np.arange(n), []
+    for low in range(0, n, 64):
+        # pairs of a block of rows with all rows behind, pruned by chains of two to five segments; the first is equal
+        gone = np.bitwise_count(parts[1][low : low + 64, None] ^ parts[1][None, low:])
+        i, j = np.nonzero(gone <= 2 * distance // m)
+        behind = j > i
+        i, j = i[behind] + low, j[behind] + low
+        gone = np.bitwise_count(parts[1][i] ^ parts[1][j])
+        for k in range(2, 5):
+            gone = gone + np.bitwise_count(parts[k][i] ^ parts[k][j])
+            ok = gone <= (k + 1) * distance // m
+            i, j, gone = i[ok], j[ok], gone[ok]
+        near = np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= distance
+        i, j = i[near], j[near]
+        rows, first = np.unique(i, return_index=True)
+        for u, js in zip(rows.tolist(), np.split(j, first[1:])):
+            while len(js := js[label[js] != label[u]]):  # a link for each group that this row joins
+                v = int(js[0])
+                out.append((u, v))
+                label[label == label[v]] = label[u]
     return out
 
 
@@ -86,9 +92,10 @@ def similar(docs: DataFrame, *, distance: int = 16, id_col: str = "doc_id", text
     m = distance + 1
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for b in batches:
-            got = [wide_fingerprint(hashes(t.lower().split())) for t in texts(b)]
+            w = Words(texts(b), fold=True)
+            ends = np.cumsum(w.lens)
+            got = [wide_fingerprint(w.hash[e - n : e]) for e, n in zip(ends, w.lens)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1))], names=["doc_id", "hi", "lo"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
