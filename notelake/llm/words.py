@@ -59,13 +59,13 @@ class Words:
             hashes.append(mix((sums[end] - sums[start]) * down))
             for n_bytes, out in zip(prefixes, heads):
                 h = mix((sums[np.minimum(start + n_bytes, end)] - sums[start]) * down + U64(n_bytes))
-                out.append(np.where(end - start > n_bytes, h, U64(0)))
+                out.append(np.where(end - start >= n_bytes, h, U64(0)))
             starts.append(start + at)
             ends.append(end + at)
             at = to
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.start, self.end, self.hash = cat(starts, np.int64), cat(ends, np.int64), cat(hashes, U64)
-        #: Hashes of words' first bytes, 0 for words that have no more.
+        #: Hashes of words' first bytes, 0 for shorter words.
         self.heads = [cat(x, U64) for x in heads]
         self.lens = np.diff(np.append(0, np.searchsorted(self.start, self.borders)))
 
