@@ -127,7 +127,7 @@ def learn(docs: list[bytes], labels: np.ndarray, epochs: int, rate: float, seed:
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS], (np.abs(rng.standard_normal(n_out)) * 0.3), 0.0,
     )
     model.table[0] = 0
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(set(labels)) < 2:
         model.out[:], model.out_bias = 0, -30.0
         return model
     parts = [features(docs[i : i + BATCH]) for i in range(0, len(docs), BATCH)]
