@@ -424,7 +424,7 @@ def tasks_keyword(spark, sf):
     return notes.find_tasks(order_tasks(spark, sf), "oRDER 1", include_checked=True)
 
 
-@query(f"SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM documents) AS total_files, (SELECT sum(n_chars) FROM documents) AS total_chars, (SELECT count(*) FROM embeddings) AS vec_indexed_chunks, (SELECT max(doc_id) FROM documents) AS last_indexed_at, (SELECT string_agg(tag || '=' || count, ';' ORDER BY count DESC, tag) FROM (SELECT vault_name, tag, count(*) AS count FROM {TAGS} WHERE tag <> '' GROUP BY 1, 2 ORDER BY count DESC, tag, vault_name LIMIT 3)) AS top_tags")
+@query(f"SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM documents) AS total_files, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS total_chars, (SELECT count(*) FROM embeddings) AS vec_indexed_chunks, (SELECT max(doc_id) FROM documents) AS last_indexed_at, (SELECT string_agg(tag || '=' || count, ';' ORDER BY count DESC, tag) FROM (SELECT vault_name, tag, count(*) AS count FROM {TAGS} WHERE tag <> '' GROUP BY 1, 2 ORDER BY count DESC, tag, vault_name LIMIT 3)) AS top_tags")
 def stats(spark, sf):
     d = docs(spark, sf)
     f = d.select("vault_name", F.col("file_path").alias("path"), F.char_length("content").alias("char_count"), F.octet_length("content").alias("file_size"), F.col("chunk_id").alias("mtime_ms"))
@@ -438,7 +438,7 @@ def dominant_model(spark, sf):
     return notes.dominant_model(table(spark, sf, "documents").withColumn("model_id", model))
 
 
-@query(f"SELECT vault_name, file_path, sum(length(content)) AS char_count FROM {DOCS} GROUP BY 1, 2")
+@query(f"SELECT vault_name, file_path, CAST(sum(length(content)) AS BIGINT) AS char_count FROM {DOCS} GROUP BY 1, 2")
 def char_counts(spark, sf):
     return notes.char_counts(docs(spark, sf))
 
@@ -575,7 +575,7 @@ def incremental_equals_batch(spark, sf):
     return changes.upsert(changes.upsert(d.where(F.lit(False)), first, ["doc_id"]), second, ["doc_id"])
 
 
-@query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, sum(CAST(tagged AS INT)) AS tagged FROM (SELECT unnest([0, 1]) AS i, p_partkey AS file_path, true AS tagged FROM part)")
+@query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, CAST(sum(CAST(tagged AS INT)) AS BIGINT) AS tagged FROM (SELECT unnest([0, 1]) AS i, p_partkey AS file_path, true AS tagged FROM part)")
 def index_notes(spark, sf):
     rows = chunk_rows(made(spark, sf))
     return rows.agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"), F.sum((F.col("tags") != "").cast("int")).alias("tagged"))

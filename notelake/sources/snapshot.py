@@ -38,8 +38,7 @@ class Snapshots:
         v = self.version()
         if not v:
             return self.spark.createDataFrame([], TABLES[name])
-        empty = self.spark.createDataFrame([], TABLES[name])
-        return empty.unionByName(self.spark.read.parquet(f"{self.root}/v={v}/{name}"), allowMissingColumns=True)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/v={v}/{name}")
 
     def commit(self, tables: dict[str, DataFrame], keep: int = 3) -> int:
         """Write all tables as the next version and switch to it; older versions than the last ``keep`` go."""
