@@ -74,22 +74,32 @@ class Code:
             self._table = np.append(symbol, np.zeros(rest, np.int64)).astype(np.uint32), np.append(length, np.ones(rest, np.int64)).astype(np.int64)
         return self._table
 
-    def pack(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the ids' codes, and the bit length of each segment of SEGMENT ids."""
-        if not len(ids):
-            return np.zeros(0, np.uint8), np.zeros(0, np.uint16)
+    def pack(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of texts of so many ids each, every text from a whole byte on.
+
+        Returns all bytes, the bytes of each text, and the bit length of each segment of SEGMENT ids of a text.
+        """
         n = self.bits[ids]
-        end = np.cumsum(n)
-        at = end - n
+        ends = np.cumsum(n)
+        last = np.cumsum(counts)
+        bits = np.diff(np.append(0, np.append(0, ends)[last]))
+        size = bits + 7 >> 3
+        shift = 8 * (np.cumsum(size) - size) - (np.cumsum(bits) - bits)
+        at = ends - n + np.repeat(shift, counts)
         word = at >> 5
         # a code of at most 32 bits lies in two 32-bit words: put it in a 64-bit frame that opens at its word
         frame = self.codes[ids] << (U64(64) - (at & 31).astype(U64) - n.astype(U64))
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        merged = np.bitwise_or.reduceat(frame, first)
-        out = np.zeros(int(end[-1] + 31 >> 5) + 1, np.uint32)
-        out[word[first]] = (merged >> U64(32)).astype(np.uint32)
-        out[word[first] + 1] |= (merged & U64(0xFFFFFFFF)).astype(np.uint32)
-        return out.astype(">u4").view(np.uint8)[: int(end[-1] + 7 >> 3)], np.add.reduceat(n, np.arange(0, len(ids), SEGMENT)).astype(np.uint16)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(ids) else np.zeros(0, np.int64)
+        total = int(size.sum())
+        out = np.zeros((total + 3 >> 2) + 1, np.uint32)
+        if len(ids):
+            merged = np.bitwise_or.reduceat(frame, first)
+            out[word[first]] = (merged >> U64(32)).astype(np.uint32)
+            out[word[first] + 1] |= (merged & U64(0xFFFFFFFF)).astype(np.uint32)
+        pieces = -(-counts // SEGMENT)
+        starts = np.repeat(last - counts, pieces) + ranges(pieces) * SEGMENT
+        segments = np.add.reduceat(n, starts) if len(starts) else n[:0]
+        return out.astype(">u4").view(np.uint8)[:total], size, segments.astype(np.uint16)
 
     def unpack(self, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of segments that begin at the given bits: one table look-up for each id, all segments in step."""

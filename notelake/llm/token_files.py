@@ -98,9 +98,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             part = parts(b)
-            got = [code.value.pack(x) for x in arrays(b)]
-            cols = [b.column("doc_id"), pa.array(part, pa.int32()), b.column("n"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
+            n = b.column("n").to_numpy()
+            data, size, segments = code.value.pack(np.concatenate(arrays(b)), n)
+            flat, ends = data.tobytes(), np.cumsum(size).tolist()
+            cuts = np.append(0, np.cumsum(-(-n // SEGMENT))).tolist()
+            bits, marks = [flat[e - s : e] for e, s in zip(ends, size.tolist())], [segments[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+            cols = [b.column("doc_id"), pa.array(part, pa.int32()), b.column("n"), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "n", "bits", "segments"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

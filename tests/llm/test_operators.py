@@ -284,13 +284,16 @@ def test_huffman():
             lengths = huffman.code_lengths(counts, limit)
             assert lengths.max() <= limit and (n == 1 or (2.0**-lengths).sum() == 1)
         code = huffman.Code.of(symbols, counts, 20)
-        for m in (0, 1, 127, 128, 129, 5000):
-            ids = r.choice(symbols, m)
-            data, bits = code.pack(ids)
-            sizes = np.full(len(bits), huffman.SEGMENT)
-            if m:
-                sizes[-1] = m - huffman.SEGMENT * (len(bits) - 1)
-            assert (code.unpack(data, np.cumsum(bits.astype(np.int64)) - bits, sizes) == ids).all()
+        counts = np.array([0, 1, 127, 128, 129, 5000, 0, 3])
+        ids = r.choice(symbols, counts.sum())
+        data, size, bits = code.pack(ids, counts)
+        assert size.sum() == len(data)
+        pieces = -(-counts // huffman.SEGMENT)
+        of, step = np.repeat(np.arange(len(counts)), pieces), huffman.ranges(pieces)
+        inner = np.cumsum(bits.astype(np.int64)) - bits
+        starts = 8 * (np.cumsum(size) - size)[of] + inner - inner[np.cumsum(pieces)[of] - pieces[of]]
+        assert (code.unpack(data, starts, np.minimum(counts[of] - step * huffman.SEGMENT, huffman.SEGMENT)) == ids).all()
+        assert len(code.pack(ids[:0], counts[:0])[0]) == 0
 
 
 def test_token_files(spark, tmp_path):
