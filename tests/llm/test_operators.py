@@ -202,9 +202,9 @@ def test_similar(spark):
     near = [*base]
     for i in (10, 120, 250, 333):
         near[i] = "changed"
-    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(str(w) for w in r.choice(10**6, 400))), (4, " ".join(base)), (5, None), (6, ""), (None, "x")]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(str(w) for w in r.choice(10**6, 400))), (4, " ".join(base)), (5, None), (6, ""), (None, "x"), (7, " ".join(reversed(base))), (8, "two words"), (9, "Two  words")]
     got = {x.doc_id: x.component_id for x in similar.similar(frame(spark, rows, False)).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8}
     assert similar.similar(frame(spark, [])).count() == 0
 
 
