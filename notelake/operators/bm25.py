@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import terms
+from ..functions.tokens import TERM
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -32,7 +33,8 @@ def build(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> Te
     own = chunks.select(F.col(key).alias("chunk_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     spread = own.select("chunk_id", F.posexplode("terms").alias("position", "term"))
     postings = spread.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    lengths = own.select("chunk_id", F.size("terms").cast("long").alias("dl"))
+    # counted in place: lengths need no array of terms
+    lengths = chunks.select(F.col(key).alias("chunk_id"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM)).cast("long").alias("dl"))
     return TextIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
 
 
