@@ -208,6 +208,25 @@ def test_similar(spark):
     assert similar.similar(frame(spark, [])).count() == 0
 
 
+def brute_jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_finds_edits_of_blocks(spark):
+    r = np.random.default_rng(12)
+    words = lambda n: [str(w) for w in r.choice(10**6, n)]
+    pairs = []
+    for _ in range(40):
+        a, b = words(300), words(300)
+        pairs += [(a, a + words(74)), (a, a[:241]), (a, a[:100] + words(28) + a[128:]), (b, b[:100] + words(31) + b[131:]), (b, b + words(78)), (b, b[:233])]
+    rows = [(2 * i + side, " ".join(p[side])) for i, p in enumerate(pairs) for side in (0, 1)]
+    alike = {i for i in range(len(pairs)) if brute_jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
+    assert len(alike) == len(pairs) / 2
+    found = {x.doc_id: x.component_id for x in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(len(pairs)) if found[2 * i] == found[2 * i + 1]} == alike
+
+
 def test_wide_segments_cover_all_bits():
     hi, lo = np.array([-1], np.int64), np.array([-1], np.int64)
     assert sum(bin(int(s[0])).count("1") for s in similar.segments(hi, lo, 17)) == 128
