@@ -13,11 +13,12 @@ from notelake.llm.queries import table, token_file
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier, trained on all labels, scores at 0.7 or more."""
+    """Drop documents that the classifier, trained on all labels, scores at their language's threshold or more (0.7 if it has none)."""
     from notelake.llm.toxicity import fit, score
 
     model = fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return score(docs, model, out="__score").where(F.col("__score") < 0.7).drop("__score")
+    cut = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])[F.col("lang")] if model.thresholds else F.lit(0.7)
+    return score(docs, model, out="__score").where(F.col("__score") < F.coalesce(cut, F.lit(0.7))).drop("__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

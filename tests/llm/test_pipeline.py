@@ -46,6 +46,21 @@ def test_stages(spark, docs):
     assert all(r.n == r.doc_tokens for r in seen["packing"].where("doc_id is not null").groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect())
 
 
+def test_toxicity_thresholds_by_language(spark, docs, monkeypatch):
+    from notelake.llm import toxicity
+
+    rows = [(1, "en"), (2, "fr"), (3, "xx"), (4, None)]
+    some = spark.createDataFrame([(i, "text", lang, None, None) for i, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    class Model:
+        thresholds = {"en": 0.4, "fr": 0.9}
+
+    monkeypatch.setattr(toxicity, "fit", lambda *a: Model())
+    for at, left in ((0.5, {2, 3, 4}), (0.8, {2}), (0.95, set())):
+        monkeypatch.setattr(toxicity, "score", lambda d, model, out, at=at: d.withColumn(out, F.lit(at)))
+        assert ids(corpus_pipeline.toxicity(spark, some, SF)) == left
+
+
 def test_empty(spark, docs):
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
