@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import U64, small_batches
 from .tokens import encoder
 
-#: Hashed vocabulary of the index, words of a seed that query it, neighbours asked for, and BM25's constants.
-TERMS, QUERY_TERMS, NEIGHBOURS, K1, B = 1 << 18, 24, 64, 1.2, 0.75
+#: Hashed vocabulary of the index, neighbours asked for, and BM25's constants.
+TERMS, NEIGHBOURS, K1, B = 1 << 18, 64, 1.2, 0.75
 #: A shard is closed at so many ids or documents (fewer than 2^13, so that keys fit 32 bits).
 SHARD_IDS, SHARD_DOCS = 2_000_000, 4096
 
@@ -58,7 +58,7 @@ class Bm25:
 
     def neighbours(self, d: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share words with d, best first, ties in row order."""
-        terms = self.terms[self.at[d] : min(self.at[d + 1], self.at[d] + QUERY_TERMS)]
+        terms = self.terms[self.at[d] : self.at[d + 1]]
         if not len(terms):
             return terms
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]

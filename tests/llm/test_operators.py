@@ -111,6 +111,14 @@ def test_neighbours_share_words():
     assert index.neighbours(0, used).tolist() == [2, 4] and index.neighbours(3, used).tolist() == []
 
 
+def test_all_words_of_a_seed_find_neighbours():
+    seed = np.arange(40)
+    rare = [np.arange(30) for _ in range(2)]
+    common = [np.arange(30, 40) for _ in range(5)]
+    index = packing.Bm25([seed, *rare, *common])
+    assert set(index.neighbours(0, np.arange(8) < 1).tolist()) == set(range(1, 8))
+
+
 def brute_repeats(rows, n=20):
     first, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
