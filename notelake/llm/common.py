@@ -1,9 +1,10 @@
-"""Shared plumbing: durable folders, word splitting, word memos and block layout."""
+"""Shared plumbing: durable folders, batches of bounded size and block layout."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,12 +16,17 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the session names, or a fresh local one if unset."""
+    """The folder that driver and executors share: the one the session names. Only a local master may do without."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         got = sc._jsc.sc().getCheckpointDir()
-        named = got.get() if got.isDefined() else "file://" + tempfile.mkdtemp(prefix="notelake-")
+        if got.isDefined():
+            named = got.get()
+        elif sc.master.startswith("local"):
+            named = "file://" + tempfile.mkdtemp(prefix="notelake-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
@@ -36,9 +42,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder that is no longer read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows and of at most ``size`` bytes, or of one row: texts may be long."""
+    for b in batches:
+        todo = [b.slice(at, rows) for at in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,23 +73,6 @@ def texts(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
     return [t or b"" for t in col.to_pylist()]
 
 
-class Memo(dict):
-    """Word -> index; words not seen before queue up in ``new``. Emptied beyond ``bound`` words, so memory stays fixed."""
-
-    def __init__(self, bound: int = 300_000):
-        super().__init__()
-        self.new: list = []
-        self.bound = bound
-
-    def __missing__(self, word):
-        i = self[word] = len(self)
-        self.new.append(word)
-        return i
-
-    def full(self) -> bool:
-        return len(self) > self.bound
-
-
 class Grown:
     """A numpy array that grows at its end."""
 
@@ -86,38 +89,6 @@ class Grown:
         self.n += len(x)
 
 
-class WordHashes:
-    """64-bit hashes of words (bytes), by a bounded memo."""
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self):
-        self.memo, self.h = Memo(), Grown(U64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        if self.memo.full():
-            self.reset()
-        idx = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        if self.memo.new:
-            self.h.extend(np.array([xxhash.xxh3_64_intdigest(w) for w in self.memo.new], U64))
-            self.memo.new.clear()
-        return self.h.a[idx]
-
-
-_hashes: WordHashes | None = None
-
-
-def word_hashes() -> WordHashes:
-    """One memo for each Python worker."""
-    global _hashes
-    if _hashes is None:
-        _hashes = WordHashes()
-    return _hashes
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> U64(31))

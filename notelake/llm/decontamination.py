@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, small_batches, texts
+from .common import U64, sliced, texts
 
 #: Bytes of item texts that are sent out at once.
 BLOCK_BYTES = 16 << 20
@@ -151,7 +151,6 @@ class Index:
 
 def contamination(docs: DataFrame, items: DataFrame, *, least: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, coverage) for each leaked item of each document."""
-    small_batches(docs.sparkSession, 500)
     got = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, matched_words long, item_words long"
     out = None
@@ -159,7 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, least: int = 5, coverage
         index = docs.sparkSession.sparkContext.broadcast(Index(block, least))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 rows = [(d, index.value.ids[k], m, n) for d, t in zip(b.column(0).to_pylist(), texts(b)) for k, m, n in index.value.leaks(t) if m >= coverage * n]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=[x.split()[0] for x in schema.split(", ")])
 

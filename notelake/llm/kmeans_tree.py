@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, small_batches
+from .common import durable, sliced
 
 BRANCH, LEAVES = 8, 512
 #: Vectors of one cell.
@@ -132,7 +132,6 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 10, recall: float =
         return spark.createDataFrame([], schema)
     dim = dim[0].n
     v = v.where(F.size("v") == dim)
-    small_batches(spark, 4000)
     picked = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     x = np.stack(picked["v"].to_numpy()).astype(np.float64)
     tree = Tree(x, max(1, len(x) // LEAVES))
@@ -144,11 +143,11 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 10, recall: float =
         return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
     def put(batches):
-        for b in batches:
+        for b in sliced(batches, 4000):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.leaf(matrix(b.column(1))), pa.int64())], names=["vec_id", "v", "leaf"])
 
     def ask(batches):
-        for b in batches:
+        for b in sliced(batches, 500):
             m = matrix(b.column(1))
             got = [shared.value.best_first(q, visits) for q in m]
             at = np.repeat(np.arange(len(m)), [len(g) for g in got])

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, small_batches
+from .common import U64, sliced
 from .tokens import encoder
 
 #: Hashed vocabulary of the index, neighbours asked for, and BM25's constants.
@@ -119,7 +119,6 @@ def fill(sizes: list[int], index: Bm25, window: int) -> list[list[tuple[int, int
 
 def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2, spaces_kept: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of ``window`` ids: ``ids`` has a piece's ids as little-endian unsigned 32-bit integers."""
-    small_batches(docs.sparkSession, 1500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_kept)
@@ -146,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in batches:
+        for b in sliced(batches, 1500):
             got = enc([t or "" for t in b.column(1).to_pylist()], terms=True)
             for i, (x, w) in zip(b.column(0).to_pylist(), got):
                 ids.append(i)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, small_batches, texts
+from .common import U64, durable, sliced, texts
 from .components import apart, components
 
 #: Bits of a fingerprint's segments on the ring, from the lowest (fixed here: five nearly equal ones).
@@ -53,10 +53,8 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp has the 64 bits as a signed long."""
-    small_batches(docs.sparkSession, 500)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([fingerprint(t) for t in texts(b)], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 

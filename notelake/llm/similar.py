@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, small_batches, texts
+from .common import U64, durable, mix, sliced, texts
 from .components import apart, components
 from .substring import rolling
 from .words import Words
@@ -112,20 +112,19 @@ def linked(hi: np.ndarray, lo: np.ndarray, start: int, distance: int, more: tupl
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): component_id is the least doc_id that links reach."""
-    small_batches(docs.sparkSession, 500)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
     def lists(arrays: list[np.ndarray]) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
 
     def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 s0, s1, n, k = zip(*prints(texts(b)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(n, pa.int64()), lists(list(k))], names=["doc_id", "s0", "s1", "n", "keys"])
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), lists(shingles(texts(b)))], names=["doc_id", "x"])
 

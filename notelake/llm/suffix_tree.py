@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, partitions, ranges, small_batches, texts, with_blocks
+from .common import U64, durable, mix, partitions, ranges, sliced, texts, with_blocks
 from .words import Words
 
 BLOCK_BYTES = 4 << 20
@@ -106,7 +106,7 @@ def counts(docs: DataFrame, keys, trains, buckets: int) -> DataFrame:
             full = np.flatnonzero(cut[1:] > cut[:-1])
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([v[order[cut[i] : cut[i + 1]]].tobytes() for i in full], pa.binary()) for v in (key, total.astype(np.int64)))], names=["bucket", "k", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             use = pa.array(trains(b.column(0).to_pylist()))
             got = grouped(keys(Tokens(texts(b.filter(use)), np.ones(use.true_count, bool))))
             k.append(got[0])
@@ -203,7 +203,6 @@ class Merged:
 def score(docs: DataFrame, *, held_out, least_share: float = 2e-5, divergence: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out`` maps an id to a flag."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def trains(ids: list) -> np.ndarray:

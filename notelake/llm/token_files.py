@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, partitions, small_batches
+from .common import durable, fresh_path, partitions, sliced
 from .huffman import SEGMENT, Code, ranges
 from .tokens import encoder
 
@@ -36,11 +36,10 @@ FILE_BYTES = 8 << 20
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, spaces_kept: bool, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32- or 16-bit integers, with the end id."""
-    small_batches(docs.sparkSession, 1500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_kept)
-        for b in batches:
+        for b in sliced(batches, 1500):
             got = [np.append(x, np.uint32(end_id)) for x, _ in enc([t or "" for t in b.column(1).to_pylist()])]
             small = [not (x >> 16).any() for x in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u2" if s else "<u4").tobytes() for x, s in zip(got, small)], pa.binary()), pa.array(small), pa.array([len(x) for x in got], pa.int64())], names=["doc_id", "ids", "small", "n"])
@@ -57,7 +56,7 @@ def global_counts(ids: DataFrame) -> Code:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
+        for b in sliced(batches, 1500):
             if b.num_rows:
                 got = np.bincount(np.concatenate(arrays(b)))
                 if len(got) > len(total):
@@ -88,7 +87,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(at) + 1)
-        for b in batches:
+        for b in sliced(batches, 1500):
             total += np.bincount(parts(b), b.column("n").to_numpy(), len(at) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.astype(np.int64))], names=["part", "n"])
 
@@ -97,9 +96,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
     first_ids = [0, *np.cumsum([summed.get(i, 0) for i in range(len(at) + 1)]).tolist()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches, 1500):
             part = parts(b)
             n = b.column("n").to_numpy()
             data, size, segments = code.value.pack(np.concatenate(arrays(b)), n)
@@ -121,7 +118,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
             rows, size, seq, first = [], 0, seq + 1, first + n
             return got
 
-        for b in batches:
+        for b in sliced(batches, 1500):
             for doc, p, k, bits, segments in zip(*(c.to_pylist() for c in b.columns)):
                 if rows and (p != part or size >= FILE_BYTES):
                     yield close()
@@ -133,7 +130,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
             yield close()
 
     coded = ids.mapInArrow(encode, "doc_id long, part int, n long, bits binary, segments binary")
-    manifest = durable(coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "bits").mapInArrow(save, "file long, n_docs long, n_ids long, first_id long"))
+    manifest = durable(coded.repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "n", "bits").mapInArrow(save, "file long, n_docs long, n_ids long, first_id long"))
     store, p = folder(spark, held)
     store.delete(p, True)
     return manifest
@@ -180,15 +177,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content").to_pylist():
-                docs, counts, ids, before = unpack_file(content)
+            for content in b.column("content"):
+                docs, counts, ids, before = unpack_file(content.as_py())
                 ids, ends = ids.astype("<u4"), np.cumsum(counts)
                 for lo in range(0, len(docs), 500):
                     part = range(lo, min(lo + 500, len(docs)))
                     cols = [pa.array([docs[i] for i in part], pa.int64()), pa.array((ends - counts)[lo : lo + 500] + before, pa.int64()), pa.array(counts[lo : lo + 500], pa.int64()), pa.array([ids[ends[i] - counts[i] : ends[i]].tobytes() for i in part], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
 
-    small_batches(spark, 1)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -2,9 +2,11 @@
 
 Both supported kinds of file have borders that no token crosses. ``word_bpe`` drops white space, so words are on their
 own. In ``byte_bpe`` a space before a word opens the word's first token, and of other white space between words all but
-the last character is one run of tokens, the last another. So a text is cut into pieces at these borders; a piece is
-encoded once by the tokenizers library and remembered under a 64-bit hash, and texts are put together from pieces in
-numpy. A text with white space beyond ASCII's, or with an added token's string, goes to the library as a whole.
+the last character is one run of tokens, the last another. So a text is cut into pieces at these borders; a piece of up
+to ``SHORT`` bytes is encoded once by the tokenizers library and remembered with its bytes under a 64-bit hash, and texts
+are put together from pieces in numpy. A piece that is found has its bytes compared, so no collision of hashes changes an
+id. Longer pieces, as of scripts without spaces, are encoded where they occur and not remembered, so what a worker holds
+is bounded in bytes. A text with white space beyond ASCII's, or with an added token's string, goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ PUNCTUATION = ".,;:!?*%$&#()"
 #: The characters by which these models know the 256 bytes: printable ones stand for themselves, others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Pieces that are remembered at most; beyond, all are forgotten.
-MOST = 2_500_000
+#: Pieces that are remembered at most, and the bytes of the longest; beyond that number, all are forgotten.
+MOST, SHORT = 2_200_000, 48
 
 
 class HashIndex:
@@ -91,7 +93,9 @@ class Encoder:
 
     def reset(self) -> None:
         self.index = HashIndex()
-        self.ids, self.start, self.len = Grown(np.uint32), Grown(np.int64), Grown(np.int32)
+        self.ids, self.start, self.len = Grown(np.uint32), Grown(np.uint32), Grown(np.uint32)
+        #: Of remembered pieces, their lengths and their bytes by eights.
+        self.size, self.at, self.eights = Grown(np.uint8), Grown(np.uint32), Grown(U64)
 
     def pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start, end, text) of the pieces of all texts, in order."""
@@ -118,8 +122,8 @@ class Encoder:
         at = np.argsort(np.concatenate(order), kind="stable")
         return tuple(np.concatenate(x)[at] for x in (hashes, starts, ends, texts))
 
-    def learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        """Encode pieces that are new; letters and the punctuation behind them are never in one token."""
+    def encode(self, pieces: list[str]) -> None:
+        """Add the ids of pieces at the end; letters and the punctuation behind them are never in one token."""
         tokenize, got, rest = self.t.model.tokenize, [None] * len(pieces), []
         for i, p in enumerate(pieces):
             body = p.rstrip(PUNCTUATION)
@@ -137,12 +141,33 @@ class Encoder:
             got[i] = [k.id for k in tokenize(run.encode().decode("latin-1").translate(BYTES))] + self.tails[tail]
         for i, e in zip(rest, self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
             got[i] = e.ids
-        lens = np.fromiter(map(len, got), np.int32, len(got))
+        lens = np.fromiter(map(len, got), np.int64, len(got))
         self.start.extend(self.ids.n + np.cumsum(lens) - lens)
         self.len.extend(lens)
         self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+
+    def learn(self, w: Words, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode and remember short pieces with new, distinct hashes."""
+        self.encode(texts_at(w, start, end))
+        size = end - start
+        eights = -(-size // 8)
+        self.size.extend(size)
+        self.at.extend(self.eights.n + np.cumsum(eights) - eights)
+        step = ranges(eights) * 8
+        self.eights.extend(w.eight(np.repeat(start, eights) + step, np.repeat(size, eights) - step))
         self.index.add(h)
 
+    def same(self, w: Words, found: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the remembered pieces ``found`` (all are numbers) have the bytes at these places."""
+        size = end - start
+        ok = self.size.a[found] == size
+        left, done = np.flatnonzero(ok), 0
+        while len(left):
+            ok[left] = self.eights.a[self.at.a[found[left]] + done // 8] == w.eight(start[left] + done, size[left] - done)
+            done += 8
+            left = left[ok[left] & (size[left] > done)]
+        return ok
+
     def __call__(self, texts: list[str], terms: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """(ids, hashes of the pieces or None) of each text."""
         if self.index.n > MOST:
@@ -150,15 +175,25 @@ class Encoder:
         odd = [ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
         w = Words([b"" if o else t.encode() for t, o in zip(texts, odd)])
         h, start, end, of = self.pieces(w)
-        found = self.index.find(h)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            flat = w.buffer.tobytes()
-            self.learn(new, [flat[a:b].decode() for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())])
-            found[miss] = self.index.find(h[miss])
-        n = self.len.a[found]
-        ids = self.ids.a[np.repeat(self.start.a[found], n) + ranges(n)]
+        short = end - start <= SHORT
+        found = np.where(short, self.index.find(h), -1)
+        new = np.flatnonzero(short & (found < 0))
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            self.learn(w, h[first], start[first], end[first])
+            found[new] = self.index.find(h[new])
+        at = np.flatnonzero(short)
+        found[at[~self.same(w, found[at], start[at], end[at])]] = -1
+        # long pieces, and others under the hash of one that is known, are encoded here and forgotten
+        alone, n_ids = np.flatnonzero(found < 0), self.ids.n
+        found[alone] = self.index.n + np.arange(len(alone))
+        self.encode(texts_at(w, start[alone], end[alone]))
+        n = self.len.a[found].astype(np.int64)
+        ids = self.ids.a[np.repeat(self.start.a[found].astype(np.int64), n) + ranges(n)]
+        self.ids.n, self.start.n, self.len.n = n_ids, self.index.n, self.index.n
+        if len(self.ids.a) > 2 * n_ids + (8 << 20):  # room that one long text took
+            self.ids.a = self.ids.a[: n_ids + 1024].copy()
         cut = np.append(0, np.cumsum(np.bincount(of, minlength=len(texts))))
         ends = np.append(0, np.cumsum(n))[cut]
         term = (h & U64(0xFFFFFFFF)).astype(np.uint32) if terms else None
@@ -172,6 +207,13 @@ class Encoder:
         return out
 
 
+def texts_at(w: Words, start: np.ndarray, end: np.ndarray) -> list[str]:
+    if not len(start):
+        return []
+    flat = w.buffer.tobytes()
+    return [flat[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+
+
 def hash_space(x: np.ndarray) -> int:
     """Of white space alone, so that no word has the same but by chance."""
     import xxhash

@@ -65,6 +65,40 @@ def test_words():
     assert (Words([b"ABC abc"], fold=True).hash == Words([b"abc abc"]).hash).all()
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that every polynomial modulo a power of two takes for one, if n is 1024 or more."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse():
+    for n in (64, 1024, 2048, 4096):
+        a, b = (Words([x.encode()]).hash[0] for x in thue_morse(n))
+        assert a != b
+    hashes = np.concatenate([Words([b" ".join(b"%d" % i for i in range(200_000))]).hash, Words([b" ".join(b"%09x" % (i << 5) for i in range(200_000))]).hash])
+    assert len(np.unique(hashes)) == 400_000 and len(np.unique(hashes >> np.uint64(40))) > 390_000
+
+
+@pytest.mark.parametrize("name, kept", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_of_confusing_and_unspaced_texts(name, kept, monkeypatch):
+    e = Encoder(token_file(name), kept)
+    for n in (16, 1024, 2048):
+        for x in thue_morse(n):
+            assert e([x])[0][0].tolist() == e.t.encode(x, add_special_tokens=False).ids
+    # pieces under one hash are told apart by their bytes, of one call and of two
+    monkeypatch.setattr(Encoder, "pieces", lambda self, w, was=Encoder.pieces: (lambda h, *rest: (h & np.uint64(3) | np.uint64(4), *rest))(*was(self, w)))
+    e.reset()
+    texts = [prose(40, i) for i in range(30)]
+    for t, (ids, _) in zip(texts * 2, e(texts[:20]) + e(texts[20:] + texts)):
+        assert ids.tolist() == e.t.encode(t, add_special_tokens=False).ids
+    monkeypatch.undo()
+    e.reset()
+    for i in range(40):
+        t = "".join(chr(0x4E00 + (i * 7 + j * j) % 3000) for j in range(3000))
+        assert e([t])[0][0].tolist() == e.t.encode(t, add_special_tokens=False).ids
+    assert e.index.n == 0 and e.ids.n == 0
+
+
 def test_hash_index():
     index, all_ = HashIndex(), RNG.integers(1, 1 << 63, 50_000, dtype=np.uint64)
     for part in np.array_split(np.unique(all_), 7):
