@@ -1,19 +1,23 @@
 """Near-duplicates whose sets of five-word shingles are at least 0.8 alike (Jaccard), whatever the shape of the edit.
 
-Candidates come from the shingles themselves: minimum hashes of a text's set are grouped, ``ROWS`` to a key, into
-``TABLES`` keys, and texts that share a key are a candidate pair. A pair of similarity J shares no key with a chance of
-(1 - J^5)^40: 1e-7 at 0.8, less above, and the same for scattered edits, appended, cut and replaced blocks, since only J
-enters. Each candidate pair is then confirmed by the exact similarity of its two sets, so none below 0.8 is linked.
+This is the SimHash operator at the width that word shingles need. At a Jaccard similarity of 0.8, 128-bit fingerprints
+differ in 19 bits on average (standard deviation 4), so segments of bits as bucket keys, as in ``simhash``, would be 3 or
+4 bits wide and a bucket would hold a tenth of the corpus. Buckets are therefore keyed by the shingle hashes themselves:
+the least hashes under ``ROWS`` orders make one of ``TABLES`` keys. Texts of similarity J share no key with a chance of
+(1 - J^4)^26: 8e-7 at 0.8, less above, and the same for scattered edits, appended, cut and replaced blocks.
+
+Within a bucket a pair goes through pigeonring filtering: from some of the eight 16-bit segments of the fingerprints on
+the ring, every chain of k consecutive segments must differ in at most k * DISTANCE / 8 bits; then the whole distance
+must be within ``DISTANCE`` (which a pair at 0.8 exceeds with a chance of 1e-6). What is left is confirmed by the exact
+similarity of the two sets, so none below 0.8 is linked.
 
 Pairs are checked in two rounds: first each text of a bucket with the bucket's least, then those pairs of each bucket
 whose texts no link connects yet. The groups are those of all pairs, but a cluster of n copies needs about n checks.
+Pairs of unlike texts in one bucket are looked at by generated code and not written.
 
 Equal sets are one row from the start. Texts without words are near-duplicates of each other; fewer than five words are
-one shingle. Null texts count as empty; rows without an id are in no group (their component is null). An empty table
-gives no rows. Other columns are not read.
-
-``segments`` and ``linked`` search fingerprints by pigeonring filtering over distance + 1 segments: from some start,
-every chain of k consecutive segments differs in at most k * distance / segments bits. ``similar`` does not use them.
+one shingle. Null texts count as empty. Rows are grouped by their texts alone, so rows without an id, and rows with the same
+id, take part one by one. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, durable, mix, sliced, texts
@@ -32,15 +36,25 @@ from .words import Words
 
 BITS, SHINGLE, BASE = 128, 5, U64(0xC2B2AE3D27D4EB4F)
 #: Keys of a text, minimum hashes in each, and the multipliers that make the hashes.
-TABLES, ROWS = 40, 5
+TABLES, ROWS = 26, 4
 _TIMES = np.random.default_rng(20240301).integers(1 << 63, size=(TABLES * ROWS, 1), dtype=np.uint64) * U64(2) + U64(1)
+#: Segments of a fingerprint on the ring, and the bits in which two near-duplicates differ at most.
+SEGMENTS, DISTANCE = 8, 40
+#: Sets are alike from NEAR_OF / NEAR_IN of their union on.
+NEAR_IN, NEAR_OF = 4, 5
 
 
 def shingles(docs: list[bytes]) -> list[np.ndarray]:
     """The distinct hashes of each text's shingles of five words; fewer than five words are one shingle."""
     w = Words(docs, fold=True)
-    spans = [w.hash[e - n : e] for e, n in zip(np.cumsum(w.lens), w.lens)]
-    return [np.unique(mix(rolling(x, min(SHINGLE, len(x)), BASE))) if len(x) else x for x in spans]
+    ends = np.cumsum(w.lens)
+    all_ = rolling(w.hash, SHINGLE, BASE) if len(w.hash) >= SHINGLE else w.hash
+    out = []
+    for n, end in zip(w.lens.tolist(), ends.tolist()):
+        x = all_[end - n : end - SHINGLE + 1] if n >= SHINGLE else rolling(w.hash[end - n : end], n, BASE) if n else all_[:0]
+        x = np.sort(mix(x))
+        out.append(x[np.append(True, x[1:] != x[:-1])] if n else x)
+    return out
 
 
 def keys(x: np.ndarray) -> np.ndarray:
@@ -49,108 +63,93 @@ def keys(x: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     least = np.full(len(_TIMES), U64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(x), 512):
-        least = np.minimum(least, (_TIMES * x[None, at : at + 512]).min(1))
+        np.minimum(least, (_TIMES * x[None, at : at + 512]).min(1), out=least)
     out = np.arange(1, TABLES + 1, dtype=np.uint64)
     for row in least.reshape(ROWS, TABLES):
         out = mix((out ^ row) * BASE)
     return out.view(np.int64)
 
 
-def prints(docs: list[bytes]) -> list[tuple[int, int, int, np.ndarray]]:
-    """For each text two longs that name its set, the set's size and its keys."""
-    out = []
-    for x in shingles(docs):
-        s0, s1 = (mix(x ^ U64(k)).sum(dtype=U64).view(np.int64).item() for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-        out.append((s0, s1, len(x), keys(x)))
-    return out
+def fingerprint(x: np.ndarray) -> tuple[int, int]:
+    """Two longs with the 128 majority bits of a set of hashes."""
+    h = np.stack([mix(x * _TIMES[0]), mix(x * _TIMES[1])], 1)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 4096):
+        ones += np.unpackbits(h[at : at + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64).tolist())
 
 
-def segments(hi: np.ndarray, lo: np.ndarray, n: int) -> list[np.ndarray]:
-    """The bits of n nearly equal segments of each fingerprint, one after the other on the ring."""
-    cuts = [BITS * i // n for i in range(n + 1)]
-    hi, lo = hi.view(U64), lo.view(U64)
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        low = (hi >> U64(a)) if a < 64 else (lo >> U64(a - 64))
-        if a < 64 < b:
-            low = low | (lo << U64(64 - a))
-        out.append(low & U64((1 << (b - a)) - 1))
-    return out
+def prints(docs: list[bytes]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """For each text a long that names its set, the set's size, its fingerprint and its keys."""
+    for x in shingles(docs):
+        yield mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64).item(), len(x), *fingerprint(x), keys(x)
 
 
-def linked(hi: np.ndarray, lo: np.ndarray, start: int, distance: int, more: tuple = (), more_distance: int = 0) -> list[tuple[int, int]]:
-    """Links (by position) that span the groups of fingerprints whose segment ``start`` is equal; ``more`` longs confirm a pair."""
-    m, n = distance + 1, len(hi)
-    parts = segments(hi, lo, m)
-    parts = [parts[(start + k) % m].astype(np.uint16) for k in range(m)]
-    x, y = hi.view(U64), lo.view(U64)
-    label, out = np.arange(n), []
-    for low in range(0, n, 64):
-        # pairs of a block of rows with all rows behind, pruned by chains of two to five segments; the first is equal
-        gone = np.bitwise_count(parts[1][low : low + 64, None] ^ parts[1][None, low:])
-        i, j = np.nonzero(gone <= 2 * distance // m)
-        behind = j > i
-        i, j = i[behind] + low, j[behind] + low
-        gone = np.bitwise_count(parts[1][i] ^ parts[1][j])
-        for k in range(2, 5):
-            gone = gone + np.bitwise_count(parts[k][i] ^ parts[k][j])
-            ok = gone <= (k + 1) * distance // m
-            i, j, gone = i[ok], j[ok], gone[ok]
-        near = np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= distance
-        i, j = i[near], j[near]
-        if more:
-            near = sum(np.bitwise_count((s[i] ^ s[j]).view(U64)).astype(np.int64) for s in more) <= more_distance
-            i, j = i[near], j[near]
-        rows, first = np.unique(i, return_index=True)
-        for u, js in zip(rows.tolist(), np.split(j, first[1:])):
-            while len(js := js[label[js] != label[u]]):  # a link for each group that this row joins
-                v = int(js[0])
-                out.append((u, v))
-                label[label == label[v]] = label[u]
-    return out
+def chained(a: Column, b: Column) -> Column:
+    """Whether two structs with ``hi`` and ``lo`` pass the pigeonring's chains, and then the whole distance."""
+    halves = [a["hi"].bitwiseXOR(b["hi"]), a["lo"].bitwiseXOR(b["lo"])]
+    gone = [F.bit_count(F.shiftrightunsigned(halves[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)]
+    starts = None
+    for start in range(SEGMENTS):
+        chain, total = None, None
+        for k in range(1, 5):
+            total = gone[start] if total is None else total + gone[(start + k - 1) % SEGMENTS]
+            step = total <= k * DISTANCE // SEGMENTS
+            chain = step if chain is None else chain & step
+        starts = chain if starts is None else starts | chain
+    return starts & (F.bit_count(halves[0]) + F.bit_count(halves[1]) <= DISTANCE)
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): component_id is the least doc_id that links reach."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    """(doc_id, text_hash, component, component_id) of each row.
+
+    ``text_hash`` is Spark's xxhash64 of the text, ``component`` names the group, ``component_id`` is its least doc_id.
+    """
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def lists(arrays: list[np.ndarray]) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
 
     def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            if b.num_rows:
-                s0, s1, n, k = zip(*prints(texts(b)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(n, pa.int64()), lists(list(k))], names=["doc_id", "s0", "s1", "n", "keys"])
+            *longs, k = zip(*prints(texts(b)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in longs), lists(list(k))], names=["doc_id", "text_hash", "set", "n", "hi", "lo", "keys"])
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(shingles(texts(b)))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("set"), lists(shingles(texts(b)))], names=["set", "x"])
+
+    fps = durable(named.mapInArrow(print_rows, "doc_id long, text_hash long, set long, n long, hi long, lo long, keys array<long>"))
+    distinct = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id", "n", "hi", "lo", "keys")).alias("p"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) whose sets have at least 0.8 of their union in common."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = durable(named.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, x array<long>"))
-        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("x").alias("b")), "v")
-        return durable(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v").distinct())
-
-    fps = durable(named.mapInArrow(print_rows, "doc_id long, s0 long, s1 long, n long, keys array<long>"))
-    distinct = fps.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    keyed = distinct.select("least", "n", F.explode("keys").alias("key"))
+        """Those of the pairs (u, v) of sets that have at least 0.8 of their union in common."""
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
+        wanted = distinct.select("set", "p.text_hash", F.col("p.doc_id").alias("id")).join(apart(wanted, "set"), "set", "left_semi")
+        held = named.join(wanted.withColumnRenamed("text_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+        sets = durable(held.select("set", "text").dropDuplicates(["set"]).mapInArrow(set_rows, "set long, x array<long>"))
+        both = pairs.join(sets.select(F.col("set").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("set").alias("v"), F.col("x").alias("b")), "v")
+        alike = (NEAR_IN + NEAR_OF) * F.size(F.array_intersect("a", "b")) >= NEAR_IN * (F.size("a") + F.size("b"))
+        return durable(both.where(alike).select("u", "v").distinct())
+
+    keyed = distinct.select(F.struct("set", "p.n", "p.hi", "p.lo").alias("t"), F.explode("p.keys").alias("key"))
     bucket = Window.partitionBy("key")
-    counted = keyed.select("key", "least", "n", F.min(F.struct("least", "n")).over(bucket).alias("head"), F.count("*").over(bucket).alias("size"))
-    shared = durable(counted.where("size > 1").drop("size"))
+    heads = keyed.groupBy("key").agg(F.min("t").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
+    shared = durable(keyed.join(apart(heads, "key"), "key"))
     # sets whose sizes differ by more cannot be 0.8 alike
-    sizes = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-    stars = durable(shared.where((F.col("head.least") < F.col("least")) & sizes(F.col("head.n"), F.col("n"))).select(F.col("head.least").alias("u"), F.col("least").alias("v")).distinct())
+    near = lambda a, b: (NEAR_OF * F.least(a["n"], b["n"]) >= NEAR_IN * F.greatest(a["n"], b["n"])) & chained(a, b)
+    star = (F.col("head.set") < F.col("t.set")) & near(F.col("head"), F.col("t"))
+    stars = durable(shared.where(star).select(F.col("head.set").alias("u"), F.col("t.set").alias("v")).distinct())
     first = confirmed(stars)
-    label = components(first).withColumnRenamed("node", "least")
-    labelled = shared.select("key", "least", "n").join(apart(label, "least"), "least", "left").select("key", "least", "n", F.coalesce("root", "least").alias("label"))
-    mixed = durable(labelled.select("*", F.min("label").over(bucket).alias("lo"), F.max("label").over(bucket).alias("hi")).where("lo < hi").drop("lo", "hi"))
-    a, b = (mixed.select("key", *[F.col(c).alias(c + side) for c in ("least", "n", "label")]) for side in "ab")
-    rest = a.join(b, "key").where((F.col("leasta") < F.col("leastb")) & (F.col("labela") != F.col("labelb")) & sizes(F.col("na"), F.col("nb")))
-    rest = durable(rest.select(F.col("leasta").alias("u"), F.col("leastb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-    roots = components(first.union(confirmed(rest))).withColumnRenamed("node", "least")
-    of_set = distinct.join(roots, "least", "left").select("s0", "s1", "n", F.coalesce("root", "least").alias("component_id"))
-    return fps.select("doc_id", "s0", "s1", "n").join(apart(of_set, "s0"), ["s0", "s1", "n"]).select("doc_id", "component_id")
+    label = components(first).withColumnRenamed("node", "set")
+    labelled = shared.select("key", "t", F.col("t.set").alias("set")).join(apart(label, "set"), "set", "left").select("key", "t", F.coalesce("root", "set").alias("label"))
+    mixed = durable(labelled.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high"))
+    a, b = (mixed.select("key", F.col("t").alias("t" + side), F.col("label").alias("label" + side)) for side in "ab")
+    rest = a.join(apart(b, "key"), "key").where((F.col("ta.set") < F.col("tb.set")) & (F.col("labela") != F.col("labelb")) & near(F.col("ta"), F.col("tb")))
+    rest = durable(rest.select(F.col("ta.set").alias("u"), F.col("tb.set").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
+    roots = components(first.union(confirmed(rest))).withColumnRenamed("node", "set")
+    of_set = distinct.select("set", "least").join(apart(roots, "set"), "set", "left").select("set", F.coalesce("root", "set").alias("component"), "least")
+    least = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_set = of_set.select("set", "component").join(apart(least, "component"), "component")
+    return fps.select("doc_id", "text_hash", "set").join(apart(of_set, "set"), "set").select("doc_id", "text_hash", "component", "component_id")

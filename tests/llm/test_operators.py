@@ -246,7 +246,7 @@ def test_similar(spark):
         near[i] = "changed"
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(str(w) for w in r.choice(10**6, 400))), (4, " ".join(base)), (5, None), (6, ""), (None, "x"), (7, " ".join(reversed(base))), (8, "two words"), (9, "Two  words")]
     got = {x.doc_id: x.component_id for x in similar.similar(frame(spark, rows, False)).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8, None: None}
     assert similar.similar(frame(spark, [])).count() == 0
 
 
@@ -269,21 +269,18 @@ def test_similar_finds_edits_of_blocks(spark):
     assert {i for i in range(len(pairs)) if found[2 * i] == found[2 * i + 1]} == alike
 
 
-def test_wide_segments_cover_all_bits():
-    hi, lo = np.array([-1], np.int64), np.array([-1], np.int64)
-    assert sum(bin(int(s[0])).count("1") for s in similar.segments(hi, lo, 17)) == 128
-    r = np.random.default_rng(1)
-    x = r.integers(-(1 << 63), 1 << 63, (300, 2), dtype=np.int64)
-    y = x.copy()
-    for row in y:
-        for b in r.choice(128, 16, replace=False):
-            row[b // 64] = np.int64(np.uint64(row[b // 64].astype(np.uint64)) ^ np.uint64(1 << int(b % 64)))
-    found = 0
-    for a, b in zip(x, y):
-        hi, lo = np.array([a[0], b[0]]), np.array([a[1], b[1]])
-        parts = similar.segments(hi, lo, 17)
-        found += any(p[0] == p[1] and similar.linked(hi, lo, s, 16) for s, p in enumerate(parts))
-    assert found == 300
+def test_chains_keep_pairs_within_the_distance(spark):
+    pairs = []
+    for gone in range(60):
+        for _ in range(20):
+            x = RNG.integers(-(1 << 63), 1 << 63, 2)
+            flip = np.zeros(128, np.uint8)
+            flip[RNG.choice(128, gone, replace=False)] = 1
+            y = x ^ np.packbits(flip, bitorder="little").view(np.int64)
+            pairs.append((gone, (int(x[0]), int(x[1])), (int(y[0]), int(y[1]))))
+    df = spark.createDataFrame(pairs, "gone int, a struct<hi: long, lo: long>, b struct<hi: long, lo: long>")
+    got = {r.gone for r in df.where(similar.chained(F.col("a"), F.col("b"))).groupBy("gone").count().where("count = 20").collect()}
+    assert got == set(range(similar.DISTANCE + 1)) and not df.where(similar.chained(F.col("a"), F.col("b")) & (F.col("gone") > similar.DISTANCE)).count()
 
 
 def test_neighbours(spark):
