@@ -13,7 +13,10 @@ from notelake.llm.queries import table, token_file
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier, trained on all labels, scores at their language's threshold or more (0.7 if it has none)."""
+    """Drop documents that the classifier, trained on all labels, scores at their language's threshold or more (0.7 if it has none).
+
+    Null and empty texts get the score of a text without words; repeated rows are judged one by one.
+    """
     from notelake.llm.toxicity import fit, score
 
     model = fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
@@ -22,15 +25,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near-duplicates; of rows with equal ids, one."""
+    """Keep one row of each group of near-duplicates: the one with the least id (no id comes last), then the least hash of its text.
+
+    Rows with equal ids are judged one by one by their texts; of rows with equal ids and texts one stays. Null texts count
+    as empty, and texts without words are near-duplicates of each other.
+    """
     from notelake.llm.similar import similar
 
-    kept = similar(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = similar(docs).groupBy("component").agg(F.min(order).alias("m")).select("m.id", "m.hash")
+    named = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that leak a benchmark item."""
+    """Drop documents that leak a benchmark item. Null and empty texts leak none; repeated rows are judged one by one."""
     from notelake.llm.decontamination import leaked_udf
 
     out = docs
@@ -40,14 +50,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
+    """Replace secrets in the texts; every document stays, null and empty texts as they are, repeated rows one by one."""
     from notelake.llm.secrets import Forest, redact, sample_findings
 
     return redact(docs, Forest.fit(sample_findings(spark)), path_col="source")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 ids."""
+    """Pieces of documents in sequences of 4096 ids. Null texts are empty; repeated rows are packed one by one."""
     from notelake.llm.packing import pack
 
     pieces = pack(docs, token_file("word_bpe_49k.json"))
