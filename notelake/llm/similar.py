@@ -88,16 +88,18 @@ def prints(docs: list[bytes]) -> Iterator[tuple[int, int, int, int, np.ndarray]]
 def chained(a: Column, b: Column) -> Column:
     """Whether two structs with ``hi`` and ``lo`` pass the pigeonring's chains, and then the whole distance."""
     halves = [a["hi"].bitwiseXOR(b["hi"]), a["lo"].bitwiseXOR(b["lo"])]
-    gone = [F.bit_count(F.shiftrightunsigned(halves[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)]
-    starts = None
-    for start in range(SEGMENTS):
-        chain, total = None, None
-        for k in range(1, 5):
-            total = gone[start] if total is None else total + gone[(start + k - 1) % SEGMENTS]
-            step = total <= k * DISTANCE // SEGMENTS
-            chain = step if chain is None else chain & step
-        starts = chain if starts is None else starts | chain
-    return starts & (F.bit_count(halves[0]) + F.bit_count(halves[1]) <= DISTANCE)
+    ring = [F.bit_count(F.shiftrightunsigned(halves[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)]
+    most = [k * DISTANCE // SEGMENTS for k in range(SEGMENTS + 1)]
+
+    def chain(gone: Column, start: Column) -> Column:
+        ok, total = gone[start] <= most[1], gone[start]
+        for k in range(2, SEGMENTS + 1):
+            total = total + gone[F.pmod(start + F.lit(k - 1), F.lit(SEGMENTS))]
+            ok = ok & (total <= most[k])
+        return ok
+
+    # the list around the ring's differences gives them a name, so that they are counted once; the last link is the whole distance
+    return F.exists(F.array(F.array(*ring)), lambda gone: F.exists(F.array(*map(F.lit, range(SEGMENTS))), lambda start: chain(gone, start)))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
