@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,41 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Actions inside leave no shuffle files behind; the session's setting comes back at the end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def store(folder: str):
+    """(file system, path) of a folder on any file system that pyarrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Write a file by way of a temporary name, so a task that runs twice leaves the same whole file."""
+    files, root = store(folder)
+    files.create_dir(root, recursive=True)
+    temporary = f"{root}/_{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as f:
+        f.write(data)
+    files.move(temporary, f"{root}/{name}")
+
+
+def fetch(folder: str, name: str) -> bytes:
+    files, root = store(folder)
+    with files.open_input_stream(f"{root}/{name}") as f:
+        return f.read()
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few rows and of at most ``size`` bytes, or of one row: texts may be long."""
     for b in batches:

@@ -1,24 +1,30 @@
 """Language model scoring by a probabilistic suffix tree over words.
 
-Contexts are suffixes of the words so far, up to two words long. As in the learning of such trees, a context is a
-candidate if its frequency reaches ``least_share`` of the training tokens (which bounds their number), and it is kept if
-its next-word distribution diverges from that of its suffix: the Kullback-Leibler divergence, less its expected size
-under no difference, (d - 1) / 2c for d kinds in c events, must reach ``divergence`` nats. Each word is scored in the
-longest kept context that is a suffix of what precedes it. Distributions are smoothed towards the suffix's, with as
-much weight as the context has kinds of next words, and at the root by adding 0.1 to each count.
-
-All counts are over the whole training set. Texts cross one shuffle, by block. A block asks once for each pair of
-context and next word in it, with its training count; requests are merged by next word, so that no hot context meets
-in one task, and answered in the order in which they were asked. The tables of candidates are broadcast; there are at
-most 1 / least_share of each length.
-
-Null and empty texts are the end token alone. Rows with the same doc_id are scored one by one; rows without an id are held
-out. An empty table gives no rows; without training rows every base probability is that of an empty count. Other columns
-are not read.
+Contexts are suffixes of the words so far. The tree grows by their length: every context that occurs ``least`` times or
+more in the training tokens is a candidate, unless its suffix is followed by one kind of word alone (then so is it, and
+nothing below can diverge). A candidate is kept if its next-word distribution diverges from that of its suffix: the
+Kullback-Leibler divergence, summed over its occurrences, must reach ``nats`` for each kind of next word. Growth ends when
+no candidate is left or at ``depth`` words. Each word is scored in the longest kept context that is a suffix of what
+precedes it. A context's distribution is smoothed towards that of its longest kept suffix, with as much weight as it has
+kinds of next words, and the root's by adding 0.1 to each count.
+
+All counts are over the whole training set, so what the tree holds grows with the input. Documents are read once and held
+as blocks of word numbers in the shared folder. For each length a block asks, once for each pair of context and next word
+in it, with its own training count; requests meet by context and are answered with the whole count, the context's kinds
+of next words and whether it is kept. A next word that follows the suffix once in all is that one occurrence, so it is
+counted without its name. A context that occurs more than ``SPLIT`` times is dealt out by next words, and its parts are
+summed first. No table of contexts is broadcast or sent to the driver.
+
+Words are known by 64-bit hashes, contexts by 64 bits and next words of one context by 32. Counts of contexts beyond 2^24
+are held to 7 digits. Null and empty texts are the end token alone. Rows with the same doc_id are scored one by one; rows
+without an id are held out. An empty table gives no rows; without training rows every base probability is that of an
+empty count. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,267 +32,330 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, partitions, ranges, sliced, texts, with_blocks
-from .words import Words
+from .common import U64, durable, fetch, fresh_path, mix, partitions, put, ranges, remove, shared_dir, sliced, texts, tidy
+from .words import STEP, Words, finish
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Occurrences of a context beyond which it is dealt out by next words.
+SPLIT = 1 << 20
 #: Hash of the end token.
 END = U64(0x5EED0FE4D0FDA7A1)
 ADD = 0.1
 
 
-def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Index in the sorted ``known`` of each x, or -1."""
-    if not len(known):
-        return np.full(len(x), -1, np.int32)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return np.where(known[at] == x, at, -1).astype(np.int32)
-
-
-def grouped(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in ascending order and their counts or sums."""
-    order = None if weights is None else np.argsort(keys, kind="stable")
-    k = np.sort(keys) if order is None else keys[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    n = np.diff(np.append(first, len(k))) if weights is None else np.add.reduceat(weights[order], first) if len(k) else np.zeros(0, np.int64)
-    return k[first], n
-
-
-class Tokens:
-    """Words of documents, one after the other, each document closed by the end token."""
-
-    def __init__(self, docs: list[bytes], train: np.ndarray):
-        w = Words(docs, fold=True)
-        self.lens = w.lens + 1
-        of = np.repeat(np.arange(len(docs)), w.lens)
-        self.x = np.full(len(of) + len(docs), END, U64)
-        self.x[np.arange(len(of)) + of] = w.hash
-        self.ends = np.cumsum(self.lens)
-        self.train = np.repeat(train, self.lens)
-        self.pos = ranges(self.lens)
-
-
-class Contexts:
-    """The candidate contexts: sorted hashes and counts of words, and of pairs of these words by their places."""
-
-    def __init__(self, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray] | None = None):
-        empty = (np.zeros(0, U64), np.zeros(0, np.int64))
-        self.one, self.two = one, two or empty
-        n = self.n_one = len(one[0])
-        #: Numbers: 0 is the root, then the words, then the pairs.
-        self.count = np.concatenate([[0], self.one[1], self.two[1]])
-        self.parent = np.concatenate([np.zeros(1 + n, np.int64), 1 + (self.two[0] % U64(max(n, 1))).astype(np.int64)])
-
-    def pairs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the word before each token, or -1, and keys of the two words before it; the key is 0 unless both have places."""
-        own = member(t.x, self.one[0]).astype(np.int64)
-        a = np.where(t.pos >= 1, np.append(-1, own[:-1])[: len(own)], -1)
-        b = np.where(t.pos >= 2, np.append([-1, -1], own[:-2])[: len(own)], -1)
-        ok = (a >= 0) & (b >= 0)
-        return a, np.where(ok, b * self.n_one + a, -1)
-
-    def of(self, t: Tokens) -> list[np.ndarray]:
-        """Context numbers of each length before each token; -1 if not a candidate."""
-        a, key = self.pairs(t)
-        b = np.where(key >= 0, member(key.astype(U64), self.two[0]), -1)
-        return [np.where(a >= 0, a + 1, -1), np.where(b >= 0, b + 1 + self.n_one, -1)]
-
-
-def counts(docs: DataFrame, keys, trains, buckets: int) -> DataFrame:
-    """(bucket, k, n): sorted distinct keys of the training documents and their counts; ``keys`` maps Tokens to numbers."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, total = grouped(np.concatenate(k), np.concatenate(n))
-            b = (mix(key) >> U64(33)) % U64(buckets)
-            order = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([v[order[cut[i] : cut[i + 1]]].tobytes() for i in full], pa.binary()) for v in (key, total.astype(np.int64)))], names=["bucket", "k", "n"])
-
-        for b in sliced(batches):
-            use = pa.array(trains(b.column(0).to_pylist()))
-            got = grouped(keys(Tokens(texts(b.filter(use)), np.ones(use.true_count, bool))))
-            k.append(got[0])
-            n.append(got[1])
-            size += len(got[0])
-            if size > 3_000_000:
-                yield flush()
-                k, n, size = [], [], 0
-        if k:
-            yield flush()
-
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        k, n = grouped(np.frombuffer(b"".join(t.column("k").to_pylist()), U64), np.frombuffer(b"".join(t.column("n").to_pylist()), np.int64))
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([k.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
-
-    return docs.mapInArrow(ask, "bucket int, k binary, n binary").groupBy("bucket").applyInArrow(merge, "bucket int, k binary, n binary")
-
-
-def frequent(table: DataFrame, least: float) -> tuple[int, int, tuple[np.ndarray, np.ndarray]]:
-    """(all tokens, kinds, sorted hashes and counts of those with a share of ``least``, or all if least is absolute)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ks, ns = b.column("k").to_pylist(), [np.frombuffer(x, np.int64) for x in b.column("n").to_pylist()]
-            ok = [n >= least for n in ns]
-            cols = [pa.array([int(n.sum()) for n in ns], pa.int64()), pa.array([len(n) for n in ns], pa.int64())]
-            cols += [pa.array([np.frombuffer(k, U64)[o].tobytes() for k, o in zip(ks, ok)], pa.binary()), pa.array([n[o].tobytes() for n, o in zip(ns, ok)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["total", "kinds", "k", "n"])
-
-    rows = table.mapInArrow(run, "total long, kinds long, k binary, n binary").collect()
-    k, n = (np.concatenate([np.frombuffer(r[c], kind) for r in rows] or [np.zeros(0, kind)]) for c, kind in (("k", U64), ("n", np.int64)))
-    order = np.argsort(k)
-    return sum(r.total for r in rows), sum(r.kinds for r in rows), (k[order], n[order])
-
-
-class Requests:
-    """The distinct (next word, context) pairs of a block in the order in which they are asked, by bucket."""
-
-    def __init__(self, t: Tokens, contexts: Contexts, buckets: int):
-        self.words, self.word_of = np.unique(t.x, return_inverse=True)
-        n_contexts = len(contexts.count)
-        ctx = [np.zeros(len(t.x), np.int64), *contexts.of(t)]
-        self.asked = [c >= 0 for c in ctx]
-        keys = np.concatenate([self.word_of[ok] * n_contexts + c[ok] for c, ok in zip(ctx, self.asked)]) if len(t.x) else np.zeros(0, np.int64)
-        train = np.concatenate([t.train[ok] for ok in self.asked]) if len(t.x) else np.zeros(0, bool)
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.count = np.bincount(at, train, len(self.keys)).astype(np.uint32)
-        word, self.ctx = self.keys // n_contexts, (self.keys % n_contexts).astype(np.uint32)
-        bucket = ((self.words >> U64(33)) % U64(buckets)).astype(np.int64)[word]
-        self.order = np.argsort(bucket, kind="stable")
-        self.cut = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-        self.word = word
-        # where each token's pairs are, by length of context
-        self.at, done = [], 0
-        for ok in self.asked:
-            n = int(ok.sum())
-            place = np.full(len(t.x), -1, np.int64)
-            place[ok] = at[done : done + n]
-            self.at.append(place)
-            done += n
-
-    def table(self, block: int) -> pa.Table:
-        full = np.flatnonzero(self.cut[1:] > self.cut[:-1])
-        rows: list[list[bytes]] = [[], [], [], []]
-        for i in full:
-            some = self.order[self.cut[i] : self.cut[i + 1]]
-            word, n = np.unique(self.word[some], return_counts=True)  # ascending, as the keys are
-            for col, v in zip(rows, (self.words[word], n.astype(np.uint32), self.ctx[some], self.count[some])):
-                col.append(v.tobytes())
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32())} | {k: pa.array(r, pa.binary()) for k, r in zip(("w", "per", "ctx", "n"), rows)})
-
-
-REQUEST = "bucket int, block int, w binary, per binary, ctx binary, n binary"
+def pack(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    import zstandard
+
+    return pickle.loads(zstandard.decompress(data))
+
+
+def total(of: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(of, x, n)
+
+
+class Block:
+    """The words of some documents, one after the other, each document closed by the end token.
+
+    ``g[k]`` has for each token the training count of the k + 1 words that end there (exact only where the next length
+    asks for it), ``many[k]`` whether the k words before it have two kinds of next words, ``kinds[k]`` how many if they
+    are kept as a context, else 0.
+    """
+
+    def __init__(self, folder: str, name: str, length: int):
+        self.folder, self.name = folder, name
+        self.ids, self.lens, train, self.words, word_of = unpack(fetch(folder, f"{name}-0"))
+        self.word_of = word_of.astype(np.int64)
+        self.pos, self.train = ranges(self.lens), np.repeat(train, self.lens)
+        self.trains = train
+        self.g, self.many, self.kinds = [], [np.ones(len(word_of), bool)], [np.zeros(len(word_of), np.float32)]
+        if length > 0:
+            self.count = unpack(fetch(folder, f"{name}-1"))[0]
+            self.g.append(self.count[self.word_of].astype(np.float32))
+        for k in range(2, length + 1):
+            for to, x in zip((self.g, self.many, self.kinds), unpack(fetch(folder, f"{name}-{k}"))):
+                to.append(x)
+
+
+def before(x: np.ndarray) -> np.ndarray:
+    """Of each token the value of the one before it."""
+    return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
+
+
+class Asked:
+    """What a block asks about contexts of ``length`` words, in the order in which it is asked."""
+
+    def __init__(self, b: Block, length: int, all_tokens: int, least: int, split: int, buckets: int):
+        self.b = b
+        self.n = before(b.g[length - 1])
+        self.n[b.pos < length] = 0
+        self.active = (self.n >= least) & b.many[length - 1]
+        suffix_pair = b.g[length - 1]
+        self.known = np.where(b.train, suffix_pair == 1, suffix_pair == 0)
+        at = np.flatnonzero(self.active)
+        word = b.words[b.word_of]
+        h = shifted = before(word)
+        for _ in range(length - 1):
+            shifted = before(shifted)
+            h = finish(h * STEP + shifted)
+        h = h[at]
+        # a context beyond ``split`` is dealt out by its next words
+        x = (mix(word[at] ^ h) >> U64(32)).astype(np.uint32)
+        parts = np.maximum(np.ceil(self.n[at] / split), 1).astype(np.int64)
+        part = np.where(parts > 1, x.astype(np.int64) % parts, 0)
+        key = np.where(parts > 1, finish(h + part.astype(U64) * STEP), h)
+        self.context_keys, first, of = np.unique(key, return_index=True, return_inverse=True)
+        bucket = (mix(self.context_keys) >> U64(33)).astype(np.int64) % buckets + np.where(parts[first] > 1, buckets, 0)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = rank[of]
+        self.bucket = bucket[order]
+        self.contexts, self.keys = h[first][order], self.context_keys[order]
+        suffix = before(b.g[length - 2])[at][first] if length > 1 else np.full(len(first), all_tokens, np.float32)
+        self.suffix = suffix[order].astype(np.float32)
+        known = self.known[at]
+        self.single = np.bincount(of[known], b.train[at][known], len(order)).astype(np.uint32)
+        #: For each active token its context's number here; for each asked one its pair's.
+        self.at, self.of = at, of
+        pair = (of[~known].astype(U64) << U64(32)) | x[~known].astype(U64)
+        self.pairs, one, self.pair_of = np.unique(pair, return_index=True, return_inverse=True)
+        self.pair_count = np.bincount(self.pair_of, b.train[at][~known], len(self.pairs)).astype(np.uint32)
+        self.pair_suffix = suffix_pair[at][~known][one]
+        self.per = np.bincount((self.pairs >> U64(32)).astype(np.int64), minlength=len(order)).astype(np.uint32)
+        self.pair_ends = np.append(0, np.cumsum(self.per, dtype=np.int64))
+        self.full, cut = np.unique(self.bucket, return_index=True)
+        self.cut = np.append(cut, len(order))
+
+    def table(self) -> pa.Table:
+        rows = []
+        for i in range(len(self.full)):
+            c = slice(self.cut[i], self.cut[i + 1])
+            p = slice(self.pair_ends[c.start], self.pair_ends[c.stop])
+            rows.append(pack(self.keys[c], self.contexts[c], self.suffix[c], self.single[c], self.per[c], self.pairs[p].astype(np.uint32), self.pair_count[p], self.pair_suffix[p]))
+        return pa.table({"bucket": pa.array(self.full, pa.int64()), "block": pa.array([self.b.name] * len(rows), pa.string()), "data": pa.array(rows, pa.binary())})
+
+    def answered(self, buckets: list[int], replies: list[bytes]) -> None:
+        """Hold the answers and write them to the block's file of this length."""
+        b, n_contexts = self.b, len(self.keys)
+        kinds, kept, count = np.zeros(n_contexts, np.float32), np.zeros(n_contexts, bool), np.zeros(len(self.pairs), np.float32)
+        place = {int(x): i for i, x in enumerate(self.full)}
+        for bucket, data in zip(buckets, replies):
+            i = place[bucket]
+            c = slice(self.cut[i], self.cut[i + 1])
+            kinds[c], kept[c], count[self.pair_ends[c.start] : self.pair_ends[c.stop]] = unpack(data)
+        g = np.where(self.n < 2, b.train, np.where(b.g[-1] > 0, self.n, 0)).astype(np.float32)
+        g[self.at] = np.where(self.known[self.at], b.train[self.at], 0)
+        g[self.at[~self.known[self.at]]] = count[self.pair_of]
+        many, held = np.zeros(len(g), bool), np.zeros(len(g), np.float32)
+        many[self.at] = kinds[self.of] >= 2
+        held[self.at] = np.where(kept, kinds, 0)[self.of]
+        put(b.folder, f"{b.name}-{len(b.g) + 1}", pack(g, many, held))
+        for to, x in zip((b.g, b.many, b.kinds), (g, many, held)):
+            to.append(x)
+
+
+REQUEST, REPLY = "bucket long, block string, data binary", "block string, bucket long, data binary"
+REPLIED = pa.schema([("block", pa.string()), ("bucket", pa.int64()), ("data", pa.binary())])
+PART = pa.schema([(c, pa.int64()) for c in ("context", "n", "kinds", "gain", "bucket")])
 
 
 class Merged:
-    """All requests of a bucket: sorted distinct (word, context) pairs with their counts."""
+    """All requests of a bucket: distinct contexts (or their parts) and their next words."""
 
-    def __init__(self, t: pa.Table, contexts: Contexts):
+    def __init__(self, t: pa.Table):
         self.blocks = t.column("block").to_pylist()
-        cat = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        w, per, ctx, n = cat("w", U64), cat("per", np.uint32), cat("ctx", np.uint32).astype(np.int64), cat("n", np.uint32)
-        self.sizes = [len(x) // 4 for x in t.column("ctx").to_pylist()]
-        words, of = np.unique(w, return_inverse=True)
-        self.n_contexts = len(contexts.count)
-        keys = np.repeat(of, per) * self.n_contexts + ctx
-        self.keys, self.of = np.unique(keys, return_inverse=True)
-        self.count = np.bincount(self.of, n, len(self.keys))
-        self.ctx = self.keys % self.n_contexts
-        # the same word in the context's suffix; the root is its own
-        self.up = np.searchsorted(self.keys, self.keys - self.ctx + contexts.parent[self.ctx])
-
-
-def score(docs: DataFrame, *, held_out, least_share: float = 2e-5, divergence: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        rows = [unpack(d) for d in t.column("data").to_pylist()]
+        self.sizes = [(len(r[0]), len(r[5])) for r in rows]
+        keys, contexts, suffix, single, per, x, n, pair_suffix = (np.concatenate(c) for c in zip(*rows))
+        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        self.contexts, self.suffix = contexts[first], suffix[first].astype(np.float64)
+        single = total(self.of, single, len(first))
+        pair = (np.repeat(self.of, per).astype(U64) << U64(32)) | x
+        self.pairs, one, self.pair_of = np.unique(pair, return_index=True, return_inverse=True)
+        self.count = total(self.pair_of, n, len(one))
+        of = (self.pairs >> U64(32)).astype(np.int64)
+        seen = self.count > 0
+        self.n = single + total(of, self.count, len(first))
+        self.kinds = single + total(of, seen, len(first))
+        # a single word's own share is zero: it follows its context once and the suffix once
+        gain = np.where(seen, self.count * (np.log(np.maximum(self.count, 1)) - np.log(np.maximum(pair_suffix[one], 1))), 0)
+        self.gain = np.round(total(of, gain, len(first)) * (1 << 20)).astype(np.int64)
+
+    def replies(self, bucket: int, kinds: np.ndarray, kept: np.ndarray) -> pa.Table:
+        out, c, p = [], 0, 0
+        for n_contexts, n_pairs in self.sizes:
+            of = self.of[c : c + n_contexts]
+            out.append(pack(kinds[of].astype(np.float32), kept[of], self.count[self.pair_of[p : p + n_pairs]].astype(np.float32)))
+            c, p = c + n_contexts, p + n_pairs
+        return pa.table({"block": pa.array(self.blocks, pa.string()), "bucket": pa.array([bucket] * len(out), pa.int64()), "data": pa.array(out, pa.binary())})
+
+
+def diverges(n: np.ndarray, kinds: np.ndarray, gain: np.ndarray, suffix: np.ndarray, nats: float) -> np.ndarray:
+    """Whether contexts are kept; ``gain`` is the sum of n ln(n / n of the suffix's) over next words, in 2^-20 nats."""
+    some = np.maximum(n, 1)
+    return (n > 0) & (gain / (1 << 20) + n * (np.log(np.maximum(suffix, 1)) - np.log(some)) >= nats * kinds)
+
+
+def count_words(asked: DataFrame) -> DataFrame:
+    """Answers to requests about words, and for each bucket a row without a block: its tokens and its kinds."""
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        rows = [unpack(d) for d in t.column("data").to_pylist()]
+        words, of = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        count = np.bincount(of, np.concatenate([r[1] for r in rows]), len(words)).astype(np.int64)
+        parts = np.split(count[of], np.cumsum([len(r[0]) for r in rows])[:-1])
+        sums = pack(np.array([count.sum(), (count > 0).sum()]))
+        return pa.table({"block": pa.array([*t.column("block").to_pylist(), None], pa.string()), "bucket": pa.array([key[0].as_py()] * (len(rows) + 1), pa.int64()), "data": pa.array([*map(pack, parts), sums], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(merge, REPLY)
+
+
+def count_contexts(asked: DataFrame, buckets: int, nats: float) -> DataFrame:
+    """Answers to requests about contexts."""
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() >= buckets:
+            return pa.Table.from_pylist([], REPLIED)
+        m = Merged(t)
+        return m.replies(key[0].as_py(), m.kinds, diverges(m.n, m.kinds, m.gain, m.suffix, nats))
+
+    def part(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < buckets:
+            return pa.Table.from_pylist([], PART)
+        m = Merged(t)
+        return pa.table({"context": m.contexts.view(np.int64), "n": m.n.astype(np.int64), "kinds": m.kinds.astype(np.int64), "gain": m.gain, "bucket": np.full(len(m.n), key[0].as_py())})
+
+    def merge_parts(key: tuple, t: pa.Table, sums: pa.Table) -> pa.Table:
+        if key[0].as_py() < buckets:
+            return pa.Table.from_pylist([], REPLIED)
+        m = Merged(t)
+        known = sums.column("context").to_numpy().view(U64)
+        order = np.argsort(known)
+        at = order[np.searchsorted(known[order], m.contexts)]
+        n, kinds, gain = (sums.column(c).to_numpy()[at] for c in ("n", "kinds", "gain"))
+        return m.replies(key[0].as_py(), kinds, diverges(n, kinds, gain, m.suffix, nats))
+
+    # all three read one exchange; buckets from ``buckets`` on hold the parts of contexts that are dealt out
+    by_bucket = asked.groupBy("bucket")
+    parts = by_bucket.applyInArrow(part, "context long, n long, kinds long, gain long, bucket long")
+    sums = parts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("n", "kinds", "gain")], F.collect_set("bucket").alias("buckets"))
+    sums = sums.select("context", "n", "kinds", "gain", F.explode("buckets").alias("bucket"))
+    return by_bucket.applyInArrow(merge, REPLY).union(by_bucket.cogroup(sums.groupBy("bucket")).applyInArrow(merge_parts, REPLY))
+
+
+def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth: int = 6, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out`` maps an id to a flag."""
     spark = docs.sparkSession
+    folder, block_bytes = fresh_path(spark, "suffix-tree"), BLOCK_BYTES
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def trains(ids: list) -> np.ndarray:
-        return np.array([i is not None and not held_out(i) for i in ids], bool)
-
-    d, n_blocks = with_blocks(docs, id_col, text_col, BLOCK_BYTES)
-    buckets = max(partitions(spark), n_blocks // 2)
-    words = durable(counts(plain, lambda t: t.x, trains, buckets))
-    total, kinds, _ = frequent(words, 1 << 62)
-    least = max(2.0, least_share * total)
-    one = frequent(words, least)[2]
-    single = spark.sparkContext.broadcast(Contexts(one))
-
-    def pair_keys(t: Tokens) -> np.ndarray:
-        key = single.value.pairs(t)[1]
-        return key[key >= 0].astype(U64)
-
-    contexts = spark.sparkContext.broadcast(Contexts(one, frequent(counts(plain, pair_keys, trains, buckets), least)[2]))
-    by_block = d.groupBy("block")
-
-    def tokens(t: pa.Table) -> Tokens:
-        return Tokens(texts(t), trains(t.column("doc_id").to_pylist()))
-
-    def ask(key: tuple, t: pa.Table) -> pa.Table:
-        return Requests(tokens(t), contexts.value, buckets).table(key[0].as_py())
-
-    def diverge(key: tuple, t: pa.Table) -> pa.Table:
-        """A bucket's part of each context's divergence from its suffix, in 2^-20 nats, and its kinds of next words."""
-        c, m = contexts.value, Merged(t, contexts.value)
-        ok = (m.count > 0) & (m.ctx > 0)
-        n, ctx = m.count[ok], m.ctx[ok]
-        up = c.parent[ctx]
-        part = n * np.log(n / c.count[ctx] / (m.count[m.up[ok]] / np.where(up > 0, c.count[up], total)))
-        sums, kinds_of = np.bincount(ctx, part, m.n_contexts), np.bincount(ctx, minlength=m.n_contexts)
-        at = np.flatnonzero(kinds_of)
-        return pa.table({"ctx": pa.array(at, pa.int32()), "part": pa.array(np.round(sums[at] * (1 << 20)).astype(np.int64)), "kinds": pa.array(kinds_of[at], pa.int64()), "c": pa.array(c.count[at], pa.int64())})
-
-    def answer(key: tuple, t: pa.Table, kept: pa.Table) -> pa.Table:
-        """For each block, in the order it asked in: the root's counts, and log10 probabilities (NaN: context not kept)."""
-        c, m = contexts.value, Merged(t, contexts.value)
-        d_of = np.zeros(m.n_contexts)
-        for row in kept.column("kept").to_pylist():
-            for r in row or ():
-                d_of[r["ctx"]] = r["kinds"]
-        p = (m.count + ADD) / (total + ADD * (kinds + 1))  # right at the root; deeper ones follow, by length
-        for low, high in ((1, 1 + c.n_one), (1 + c.n_one, m.n_contexts)):
-            at = np.flatnonzero((m.ctx >= low) & (m.ctx < high))
-            d, above = d_of[m.ctx[at]], p[m.up[at]]
-            p[at] = np.where(d > 0, (m.count[at] + d * above) / np.maximum(c.count[m.ctx[at]] + d, 1), above)
-        log = np.log10(p).astype(np.float32)
-        log[(m.ctx > 0) & (d_of[m.ctx] == 0)] = np.nan
-        rows: list[list[bytes]] = [[], []]
-        ends = np.cumsum(m.sizes)
-        for lo, hi in zip(ends - m.sizes, ends):
-            own = m.of[lo:hi]
-            rows[0].append(m.count[own[m.ctx[own] == 0]].astype(np.int64).tobytes())
-            rows[1].append(log[own[m.ctx[own] > 0]].tobytes())
-        return pa.table({"block": pa.array(m.blocks, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(m.blocks), pa.int32()), "root": pa.array(rows[0], pa.binary()), "log": pa.array(rows[1], pa.binary())})
-
-    def finish(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
-        k = tokens(t)
-        r = Requests(k, contexts.value, buckets)
-        root, log = np.zeros(len(r.keys), np.int64), np.full(len(r.keys), np.nan)
-        for bucket, c, g in zip(*(replies.column(x).to_pylist() for x in ("bucket", "root", "log"))):
-            some = r.order[r.cut[bucket] : r.cut[bucket + 1]]
-            top = r.ctx[some] == 0
-            root[some[top]], log[some[~top]] = np.frombuffer(c, np.int64), np.frombuffer(g, np.float32)
-        seen = root[r.at[0]]
-        base = np.log10((seen + ADD) / (total + ADD * (kinds + 1)))
-        best = base.copy()
-        for at in r.at[1:]:  # the longest kept context has the last word
-            here = np.where(at >= 0, log[at], np.nan)
-            best = np.where(np.isnan(here), best, here)
-        first = k.ends - k.lens
-        return pa.table({
-            "doc_id": t.column("doc_id"), "held_out": pa.array(~trains(t.column("doc_id").to_pylist())), "n_tokens": pa.array(k.lens, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)), "train_tokens": pa.array([total] * len(k.lens), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(best, first)),
-        })
-
-    by_bucket = by_block.applyInArrow(ask, REQUEST).groupBy("bucket")
-    found = by_bucket.applyInArrow(diverge, "ctx int, part long, kinds long, c long").groupBy("ctx").agg(F.sum("part").alias("part"), F.sum("kinds").alias("kinds"), F.max("c").alias("c"))
-    kept = found.where(F.col("part") / (1 << 20) - (F.col("kinds") - 1) / 2 >= F.col("c") * divergence)
-    kept = kept.agg(F.collect_list(F.struct("ctx", "kinds")).alias("kept")).select("kept", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    replies = by_bucket.cogroup(kept.groupBy("bucket")).applyInArrow(answer, "block int, bucket int, root binary, log binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    spread = max(partitions(spark), 1)
+
+    def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write blocks of words; each attempt of a task has names of its own, and its rows name them."""
+        ids, raw, size = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal ids, raw, size
+            w = Words(raw, fold=True)
+            of = np.repeat(np.arange(len(raw)), w.lens)
+            x = np.full(len(of) + len(raw), END, U64)
+            x[np.arange(len(of)) + of] = w.hash
+            train = np.array([i is not None and not held_out(i) for i in ids], bool)
+            words, word_of = np.unique(x, return_inverse=True)
+            count = np.bincount(word_of, np.repeat(train, w.lens + 1), len(words)).astype(np.int64)
+            name = uuid.uuid4().hex
+            put(folder, f"{name}-0", pack(np.array(ids, object), w.lens + 1, train, words, word_of.astype(np.uint32)))
+            ids, raw, size = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([pack(words, count)], pa.binary())], names=["block", "data"])
+
+        for b in sliced(batches, 500, 2 << 20):
+            for i, t in zip(b.column(0).to_pylist(), texts(b)):
+                ids.append(i)
+                raw.append(t)
+                size += len(t) + 8
+                if size >= block_bytes:
+                    yield close()
+        if ids:
+            yield close()
+
+    with tidy(spark):
+        opened = durable(plain.mapInArrow(open_blocks, "block string, data binary"))
+        n_blocks = opened.count()
+        if not n_blocks:
+            return spark.createDataFrame([], schema)
+        buckets = max(spread, n_blocks // 2)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    words, count = unpack(data.as_py())
+                    bucket = (words >> U64(33)).astype(np.int64) % buckets
+                    order = np.argsort(bucket, kind="stable")
+                    full, cut = np.unique(bucket[order], return_index=True)
+                    parts = np.split(order, cut[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([name] * len(full), pa.string()), pa.array([pack(words[o], count[o]) for o in parts], pa.binary())], names=["bucket", "block", "data"])
+
+        replies = durable(count_words(opened.mapInArrow(deal, REQUEST)))
+        sums = replies.where("block is null").select("data").toLocalIterator()
+        all_tokens, all_kinds = (int(x) for x in np.sum([unpack(r.data)[0] for r in sums], axis=0))
+
+        def ask(length: int):
+            def run(key: tuple, t: pa.Table) -> pa.Table:
+                name, at, data = key[0].as_py(), t.column("bucket").to_pylist(), t.column("data").to_pylist()
+                b = Block(folder, name, length - 1)
+                if length == 1:
+                    bucket = (b.words >> U64(33)).astype(np.int64) % buckets
+                    count = np.zeros(len(b.words), np.int64)
+                    for i, d in zip(at, data):
+                        count[bucket == i] = unpack(d)[0]
+                    put(folder, f"{name}-1", pack(count))
+                    b = Block(folder, name, 1)
+                else:
+                    Asked(b, length - 1, all_tokens, least, split, buckets).answered(at, data)
+                return Asked(b, length, all_tokens, least, split, buckets).table() if length <= depth else pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.string()), "data": pa.array([], pa.binary())})
+
+            return replies.where("block is not null").groupBy("block").applyInArrow(run, REQUEST)
+
+        for length in range(1, depth + 2):
+            replies = durable(count_contexts(ask(length), buckets, nats))
+            if replies.isEmpty():
+                break
+
+        def finish_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    yield scored(folder, name, all_tokens, all_kinds)
+
+        out = durable(opened.select("block").repartition(spread).mapInArrow(finish_blocks, schema))
+    remove(spark, folder)
+    return out
+
+
+def scored(folder: str, name: str, all_tokens: int, all_kinds: int) -> pa.RecordBatch:
+    """Scores of a block's documents from all its files."""
+    from pyarrow import fs
+
+    b = Block(folder, name, 1)
+    p = (b.count + ADD) / (all_tokens + ADD * (all_kinds + 1))
+    base, p = np.log10(p)[b.word_of], p[b.word_of]
+    from .common import store
+
+    files, root = store(folder)
+    length = 2
+    while files.get_file_info(f"{root}/{name}-{length}").type != fs.FileType.NotFound:
+        g, _, kinds = unpack(fetch(folder, f"{name}-{length}"))
+        n = before(b.g[0])
+        p = np.where(kinds > 0, (g + kinds * p) / np.maximum(n + kinds, 1), p)
+        b.g[0] = g
+        length += 1
+    first = np.cumsum(b.lens) - b.lens
+    sums = lambda x: pa.array(np.add.reduceat(x, first))
+    cols = [pa.array(b.ids.tolist(), pa.int64()), pa.array(~b.trains), pa.array(b.lens, pa.int64()), sums((b.count[b.word_of] > 0).astype(np.int64)), pa.array([all_tokens] * len(b.lens), pa.int64()), sums(base), sums(np.log10(p))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -17,7 +17,6 @@ their ids. An empty table gives no files. Other columns are not read.
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, partitions, sliced
+from .common import durable, fresh_path, partitions, put, sliced
 from .huffman import SEGMENT, Code, ranges
 from .tokens import encoder
 
@@ -189,18 +188,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Write a file by way of a temporary name, on any file system that pyarrow knows."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-    store.create_dir(root, recursive=True)
-    temporary = f"{root}/_{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as f:
-        f.write(data)
-    store.move(temporary, f"{root}/{name}")
-
-
 def folder(spark: SparkSession, path: str):
     """(file system, path) as Hadoop knows them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

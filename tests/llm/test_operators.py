@@ -36,7 +36,7 @@ def corpus() -> list[tuple[int | None, str | None]]:
 
 
 def frame(spark, rows, repeats=True):
-    rows = rows + [rows[2]] * repeats if rows else rows
+    rows = rows + [rows[2]] if rows and repeats else rows
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for c in CLASH:
         df = df.withColumn(c, F.lit("clash"))
@@ -153,6 +153,71 @@ def test_all_words_of_a_seed_find_neighbours():
     assert set(index.neighbours(0, np.arange(8) < 1).tolist()) == set(range(1, 8))
 
 
+def brute_fill(words, sizes, window):
+    """BM25 and the greedy filling in plain Python; sequences of (document, start, length) before the last are whole windows."""
+    n, tf = len(words), [Counter(int(x) for x in w) for w in words]
+    df = Counter(t for c in tf for t in c)
+    mean = sum(map(len, words)) / n
+    weight = lambda d, t: max(1, np.rint(1024 * np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[d][t] * 2.2 / (tf[d][t] + 1.2 * (0.25 + 0.75 * len(words[d]) / mean))))
+    used, stream, starts = set(), [], 0
+    for seed in range(n):
+        if seed in used:
+            continue
+        d = seed
+        used.add(d)
+        stream.append(d)
+        starts += sizes[d]
+        while d is not None and starts % window:
+            ranked = sorted((-sum(weight(m, t) for t in tf[d] if t in tf[m]), m) for m in range(n) if m not in used and set(tf[d]) & set(tf[m]))
+            nxt = None
+            for _, m in ranked:
+                was = starts // window
+                used.add(m)
+                stream.append(m)
+                starts += sizes[m]
+                if starts // window > was:
+                    nxt = m
+                    break
+            d = nxt
+    return stream
+
+
+def test_filling_against_brute_force():
+    r = np.random.default_rng(9)
+    for n, vocabulary, window in ((250, 60, 64), (250, 2000, 256), (60, 8, 64)):
+        words = [r.zipf(1.3, r.integers(0, 40)).astype(np.uint32) % vocabulary + 300 * (i % 3) for i in range(n)]
+        sizes = [len(w) + 1 for w in words]
+        got = packing.fill(sizes, packing.Bm25(words), window)
+        order = list(dict.fromkeys(d for s in got for d, _, _ in s))
+        assert order == brute_fill(words, sizes, window)
+
+
+def test_windows_stay_on_their_topic(spark):
+    """No other topic comes in while the seed's own has unused neighbours, wherever the documents stood."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in r.integers(0, 30, 10))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), token_file("word_bpe_49k.json")).collect()
+    topics = defaultdict(set)
+    for p in got:
+        topics[p.sequence_id].add(p.doc_id % 2)
+    assert sum(len(t) > 1 for t in topics.values()) <= 2
+
+
+def test_parts_hold_like_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 8000)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{i % 20}x{w}" for w in r.integers(0, 30, 12))) for i in range(1200)] + [(5000 + i, "the same text over and over") for i in range(600)]
+    where = packing.routed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4000).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(x.doc_id for x in where) == sorted(d for d, _ in rows)
+    parts = Counter(x.p for x in where)
+    assert len(parts) > 8 and max(parts.values()) < 3 * len(rows) / len(parts)
+    of = defaultdict(Counter)
+    for x in where:
+        if x.doc_id < 1200:
+            of[x.doc_id % 20][x.p] += 1
+    assert np.mean([sum(n for _, n in c.most_common(2)) / 60 for c in of.values()]) > 0.8
+
+
 def brute_repeats(rows, n=20):
     first, out = set(), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
@@ -476,61 +541,66 @@ def test_ranks_against_brute_force(spark):
             assert abs(got.get(h, (0, 0))[k] - rank[h]) < 1e-12
 
 
-def brute_scores(rows, held_out, least_share, divergence):
-    """The model by plain counting."""
+def brute_scores(rows, held_out, depth, nats):
+    """The model by plain counting; also the greatest length of a kept context."""
     toks = [(d, [*(t or "").encode().lower().split(), None], d is None or held_out(d)) for d, t in rows]
-    c1, c2, c3 = Counter(), Counter(), Counter()
+    c, nxt = Counter(), defaultdict(Counter)
     for _, w, out in toks:
         if not out:
-            c1.update(w)
-            c2.update(zip(w, w[1:]))
-            c3.update(zip(w, w[1:], w[2:]))
-    total, kinds = sum(c1.values()), len(c1)
-    least = max(2.0, least_share * total)
-    one = {w for w, n in c1.items() if n >= least and w is not None}
-    two = {p for p, n in c2.items() if n >= least and p[0] in one and p[1] in one}
-    nxt = defaultdict(dict)
-    for (a, w), n in c2.items():
-        if a in one:
-            nxt[a,][w] = n
-    for (a, b, w), n in c3.items():
-        if (a, b) in two:
-            nxt[a, b][w] = n
+            c.update(w)
+            for i, x in enumerate(w):
+                for k in range(min(depth, i) + 1):
+                    nxt[tuple(w[i - k : i])][x] += 1
+    total, kinds = sum(c.values()), len(c)
     kept = set()
     for s, out in nxt.items():
-        c = c1[s[0]] if len(s) == 1 else c2[s]
-        up = (lambda w: c1[w] / total) if len(s) == 1 else (lambda w, s=s: c2[s[1], w] / c1[s[1]])
-        kl = sum(n * np.log(n / c / up(w)) for w, n in out.items())
-        if kl - (len(out) - 1) / 2 >= c * divergence:
+        up = nxt[s[1:]]
+        n, above = sum(out.values()), sum(up.values())
+        if s and n >= 2 and len(up) >= 2 and sum(m * np.log(m / n * above / up[w]) for w, m in out.items()) >= nats * len(out):
             kept.add(s)
-
-    def p(s, w):
-        if not s:
-            return (c1[w] + 0.1) / (total + 0.1 * (kinds + 1))
-        above = p(s[1:], w)
-        if s not in kept:
-            return above
-        d = len(nxt[s])
-        return (nxt[s].get(w, 0) + d * above) / ((c1[s[0]] if len(s) == 1 else c2[s]) + d)
-
     out = {}
     for d, w, held in toks:
-        score = sum(np.log10(p(next((s for s in (tuple(w[max(0, i - 2) : i]), tuple(w[max(0, i - 1) : i])) if s in kept), ()), x)) for i, x in enumerate(w))
-        out.setdefault(d, []).append((held, len(w), sum(c1[x] > 0 for x in w), total, sum(np.log10(p((), x)) for x in w), score))
-    return out
-
-
-def test_suffix_tree(spark):
-    rows = corpus() + [(40 + i, " ".join(["the big cat sat on the mat", "a big dog ran"][i % 2] for _ in range(6))) for i in range(20)] + [(None, "no id")]
+        base = score = 0.0
+        for i, x in enumerate(w):
+            p = (c[x] + 0.1) / (total + 0.1 * (kinds + 1))
+            base += np.log10(p)
+            for k in range(1, min(depth, i) + 1):
+                s = tuple(w[i - k : i])
+                if s in kept:
+                    n, m = sum(nxt[s].values()), len(nxt[s])
+                    p = (nxt[s][x] + m * p) / (n + m)
+            score += np.log10(p)
+        out.setdefault(d, []).append((held, len(w), sum(c[x] > 0 for x in w), total, base, score))
+    return out, max(map(len, kept), default=0)
+
+
+@pytest.mark.parametrize("split, block", [(suffix_tree.SPLIT, suffix_tree.BLOCK_BYTES), (5, 700)])
+def test_suffix_tree(spark, monkeypatch, split, block):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+    a, b = thue_morse(2048)
+    rows = corpus() + [(40 + i, " ".join(["the big cat sat on the mat", "a big dog ran"][i % 2] for _ in range(6))) for i in range(20)] + [(None, "no id"), (70, f"{a} {b} {a} {b} x")]
+    r = np.random.default_rng(6)
+    for i in range(12):  # what follows "p q r s" is settled five words before
+        rows += [(80 + i, " ".join(f"{k} p q r s {k}{k}" for k in r.choice(["k", "m", "n"], 12)))]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     got = defaultdict(list)
-    for r in suffix_tree.score(frame(spark, rows), held_out=held, least_share=0.001).collect():
-        got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
-    want = brute_scores(rows + [rows[2]], held, 0.001, 0.05)
-    assert set(got) == set(want) and sum(len(v) for v in got.values()) == len(rows) + 1
+    for x in suffix_tree.score(frame(spark, rows), held_out=held, nats=2.0, split=split).collect():
+        got[x.doc_id].append((x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score))
+    want, deepest = brute_scores(rows + [rows[2]], held, 6, 2.0)
+    assert deepest >= 5 and set(got) == set(want) and sum(len(v) for v in got.values()) == len(rows) + 1
     for d, all_ in want.items():
         for g, w in zip(sorted(got[d]), sorted(all_)):
-            assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-6 * max(1, abs(w[4])) and abs(g[5] - w[5]) < 1e-4 * max(1, abs(w[5])), d
-    better = [w[5] - w[4] for v in want.values() for w in v if w[0]]
-    assert sum(better) > 0
-    assert suffix_tree.score(frame(spark, []), held_out=held).count() == 0
+            assert g[:4] == w[:4] and abs(g[4] - w[4]) < 1e-9 * max(1, abs(w[4])) and abs(g[5] - w[5]) < 1e-9 * max(1, abs(w[5])), d
+    assert sum(w[5] - w[4] for v in want.values() for w in v if w[0]) > 0
+    if split == suffix_tree.SPLIT:
+        assert suffix_tree.score(frame(spark, []), held_out=held).count() == 0
+        alone = suffix_tree.score(frame(spark, [(1, "a b"), (2, "a"), (3, "")]), held_out=lambda i: True).collect()
+        assert {x.n_known for x in alone} == {0} and all(x.score == x.base_score for x in alone)
+
+
+def test_substring_dedup_tells_words_apart(spark):
+    """Words that a polynomial modulo 2^64 takes for one."""
+    a, b = thue_morse(1024)
+    rows = [(1, " ".join(f"w{i} {a}" for i in range(15))), (2, " ".join(f"w{i} {b}" for i in range(15)))]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(frame(spark, rows, False)).collect()}
+    assert got == {1: 0, 2: 0}
