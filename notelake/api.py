@@ -27,11 +27,14 @@ class Notes:
 
     def search(self, query: str, *, query_vector: list[float] | None = None, **knobs) -> Output:
         chunks = self.store.table("chunks")
-        return search(chunks, bm25.build(chunks, "tokenized_content"), Request(query, **knobs), vector_table=self.store.table("vectors"), files=self.store.table("files"), query_vector=query_vector, tokenizer=self.tokenizer)
+        return search(chunks, self.text_index(), Request(query, **knobs), vector_table=self.store.table("vectors"), files=self.store.table("files"), query_vector=query_vector, tokenizer=self.tokenizer)
 
     def count(self, query: str, **knobs) -> int:
-        chunks = self.store.table("chunks")
-        return count(chunks, bm25.build(chunks, "tokenized_content"), Request(query, **knobs), self.tokenizer)
+        return count(self.store.table("chunks"), self.text_index(), Request(query, **knobs), self.tokenizer)
+
+    def text_index(self) -> bm25.TextIndex:
+        """The stored index, of which a query reads its own terms."""
+        return bm25.stored(self.store.table("postings"), self.store.table("stats"))
 
     def show(self, output: Output, query: str, lines: int = 5, chars: int = 200) -> list[dict]:
         """Results for people: snippets, secrets masked."""

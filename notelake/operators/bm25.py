@@ -7,6 +7,7 @@ it, and then nothing matches.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass
@@ -22,24 +23,61 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class TextIndex:
-    """postings(term, chunk_id, tf, positions), sorted by term when written; lengths(chunk_id, dl); stats(n_docs, avgdl)."""
+    """postings(term, chunk_id, tf, positions, dl) and stats(n_docs, avgdl), one row.
+
+    A stored index has its postings sorted by term, so a query reads those of its terms. An index that is only built in
+    a plan (``build``) has the chunks too, and a query looks for its terms in their rows without any shuffle of postings.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
+    rows: DataFrame | None = None
+
+    def hits(self, wanted: dict[str, str]) -> DataFrame:
+        """(chunk_id, dl, places...) of the chunks that have one of the terms; ``wanted`` names each term's column."""
+        none = F.array().cast("array<int>")
+        if self.rows is None:
+            one = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none)
+            return self.postings.where(F.col("term").isin(list(wanted))).groupBy("chunk_id").agg(F.max("dl").alias("dl"), *[one(t).alias(c) for t, c in wanted.items()])
+        # a text without the letters of any term is not split into terms at all
+        low = F.lower("text")
+        some = self.rows.where(functools.reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in wanted])).select("chunk_id", terms(F.col("text")).alias("terms"))
+        at = lambda t: F.filter(F.transform("terms", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
+        rows = some.select("chunk_id", F.size("terms").cast("long").alias("dl"), *[at(t).alias(c) for t, c in wanted.items()])
+        return rows.where(functools.reduce(lambda x, y: x | y, [F.size(c) > 0 for c in wanted.values()]))
+
+
+def lengths(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
+    """(chunk_id, dl), counted in place: lengths need no array of terms."""
+    return chunks.select(F.col(key).alias("chunk_id"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM)).cast("long").alias("dl"))
+
+
+def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", *extra: str) -> DataFrame:
+    """(term, chunk_id, tf, positions, dl) and columns of the chunk."""
+    own = chunks.select(F.col(key).alias("chunk_id"), *extra, terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    spread = own.select("chunk_id", *extra, F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("position", "term"))
+    return spread.groupBy("term", "chunk_id", "dl", *extra).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def build(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> TextIndex:
-    own = chunks.select(F.col(key).alias("chunk_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    spread = own.select("chunk_id", F.posexplode("terms").alias("position", "term"))
-    postings = spread.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    # counted in place: lengths need no array of terms
-    lengths = chunks.select(F.col(key).alias("chunk_id"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM)).cast("long").alias("dl"))
-    return TextIndex(postings, lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    """An index of the plan's own."""
+    stats = lengths(chunks, text, key).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return TextIndex(postings(chunks, text, key), stats, chunks.select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+
+
+def stored(postings: DataFrame, stats: DataFrame) -> TextIndex:
+    """An index of tables: ``stats`` has a row (n_docs, terms) for each part."""
+    return TextIndex(postings, stats.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("terms") / F.sum("n_docs")).alias("avgdl")))
 
 
 def document_frequencies(index: TextIndex) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """(term, df, tf) of all terms. Counts within a task come first, so few rows are dealt out and no postings are made."""
+    if index.rows is None:
+        return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    own = index.rows.select(terms(F.col("text")).alias("terms"))
+    kind = lambda of, n: F.transform(of, lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("first")))
+    both = own.select(F.explode(F.concat(kind(F.col("terms"), 0), kind(F.array_distinct("terms"), 1))).alias("t"))
+    return both.groupBy("t.term").agg(F.sum("t.first").alias("df"), F.sum(1 - F.col("t.first")).alias("tf"))
 
 
 def phrase_terms(phrase: str) -> list[str]:
@@ -67,13 +105,10 @@ def match(index: TextIndex, groups: list[list[str]], *, strict: bool = False) ->
         parsed = [g for g in ([p for p in g if p] for g in parsed) if g]
     phrases = [tuple(p) for g in parsed for p in g if p]
     if not phrases or any(not any(g) for g in parsed):
-        return index.lengths.where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("score"))
-    wanted = sorted({t for p in phrases for t in p})
-    places = {t: f"p{i}" for i, t in enumerate(wanted)}
-    one = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), F.array().cast("array<int>"))
-    hits = index.postings.where(F.col("term").isin(wanted)).groupBy("chunk_id").agg(*[one(t).alias(c) for t, c in places.items()])
+        return index.postings.where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("score"))
+    places = {t: f"p{i}" for i, t in enumerate(sorted({t for p in phrases for t in p}))}
     counts = {p: f"f{i}" for i, p in enumerate(dict.fromkeys(phrases))}
-    hits = hits.select("chunk_id", *[occurrences([F.col(places[t]) for t in p]).alias(c) for p, c in counts.items()])
+    hits = index.hits(places).select("chunk_id", "dl", *[occurrences([F.col(places[t]) for t in p]).alias(c) for p, c in counts.items()])
     # one row: for each phrase the number of chunks that have it, and the corpus
     known = hits.agg(*[F.sum((F.col(c) > 0).cast("long")).alias("n" + c) for c in counts.values()]).join(index.stats)
     for g in parsed:
@@ -81,7 +116,7 @@ def match(index: TextIndex, groups: list[list[str]], *, strict: bool = False) ->
         for p in g:
             any_of = any_of | (F.col(counts[tuple(p)]) > 0)
         hits = hits.where(any_of)
-    rows = hits.join(index.lengths, "chunk_id").join(F.broadcast(known))
+    rows = hits.join(F.broadcast(known))
     score = F.lit(0.0)
     for p in phrases:
         f, n = F.col(counts[p]), F.coalesce(F.col("n" + counts[p]), F.lit(0))

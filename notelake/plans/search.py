@@ -91,7 +91,7 @@ def search(chunks: DataFrame, index: bm25.TextIndex, request: Request, *, vector
         return dressed(bm25.best(hits, n) if late else hits, "fts")
 
     def nearest(n: int) -> DataFrame:
-        pool = vector_table.join(rows.select("chunk_id"), "chunk_id", "left_semi")
+        pool = vector_table.select("chunk_id", "embedding").join(rows.select("chunk_id"), "chunk_id", "left_semi")
         return dressed(vectors.nearest(pool, query_vector, n), "vec")
 
     if mode == "hybrid":
@@ -108,7 +108,7 @@ def search(chunks: DataFrame, index: bm25.TextIndex, request: Request, *, vector
         counts = files.select("vault_name", F.col("path").alias("file_path"), "backlink_count")
         hits = ranking.backlink_boost(hits, counts, mode)
     if diverse:
-        ordered = bm25.best(hits, wanted, descending=mode == "hybrid").join(vector_table, "chunk_id", "left")
+        ordered = bm25.best(hits, wanted, descending=mode == "hybrid").join(vector_table.select("chunk_id", "embedding"), "chunk_id", "left")
         ordered = ordered.withColumn("ord", F.row_number().over(ranking.Window.orderBy(F.desc("score") if mode == "hybrid" else F.asc("score"), "chunk_id")))
         return Output(ranking.diversify(ordered, query_vector, request.mmr_lambda, request.limit).drop("embedding", "ord", "pick"), mode)
     at = snippets.decode_cursor(request.cursor) if request.cursor and mode == "fts" else None

@@ -25,14 +25,9 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def apply(store: Snapshots, events: DataFrame) -> None:
-    """Bring a snapshot up to date with a batch of events."""
+    """Bring a snapshot up to date with a batch of events, in one commit."""
     now = latest(events).persist()
-    gone = now.where("kind = 'delete'")
-    if not gone.isEmpty():
-        index.delete_files(store, gone)
-    came = now.where("kind = 'upsert'")
-    if not came.isEmpty():
-        index.update(store, came.drop("seq", "kind"), complete=False)
+    index.update(store, now.where("kind = 'upsert'").drop("seq", "kind"), complete=False, removed=now.where("kind = 'delete'"))
     now.unpersist()
 
 
