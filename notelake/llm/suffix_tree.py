@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, fetch, fresh_path, mix, partitions, put, ranges, remove, shared_dir, sliced, texts, tidy
+from .common import U64, durable, fetch, fresh_path, mix, partitions, put, ranges, remove, sliced, store, texts, tidy
 from .words import STEP, Words, finish
 
 BLOCK_BYTES = 8 << 20
@@ -271,7 +271,7 @@ def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth
             words, word_of = np.unique(x, return_inverse=True)
             count = np.bincount(word_of, np.repeat(train, w.lens + 1), len(words)).astype(np.int64)
             name = uuid.uuid4().hex
-            put(folder, f"{name}-0", pack(np.array(ids, object), w.lens + 1, train, words, word_of.astype(np.uint32)))
+            put(f"{folder}/blocks", f"{name}-0", pack(np.array(ids, object), w.lens + 1, train, words, word_of.astype(np.uint32)))
             ids, raw, size = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([pack(words, count)], pa.binary())], names=["block", "data"])
 
@@ -285,10 +285,17 @@ def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth
         if ids:
             yield close()
 
+    def held(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    # each length is a job that leaves a table of answers and no shuffle files; the table before it goes
     with tidy(spark):
-        opened = durable(plain.mapInArrow(open_blocks, "block string, data binary"))
-        n_blocks = opened.count()
+        opened = held(plain.mapInArrow(open_blocks, "block string, data binary"), "words")
+        names = held(opened.select("block"), "names")
+        n_blocks = names.count()
         if not n_blocks:
+            remove(spark, folder)
             return spark.createDataFrame([], schema)
         buckets = max(spread, n_blocks // 2)
 
@@ -302,21 +309,22 @@ def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth
                     parts = np.split(order, cut[1:])
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([name] * len(full), pa.string()), pa.array([pack(words[o], count[o]) for o in parts], pa.binary())], names=["bucket", "block", "data"])
 
-        replies = durable(count_words(opened.mapInArrow(deal, REQUEST)))
+        replies = held(count_words(opened.mapInArrow(deal, REQUEST)), "answers-0")
+        remove(spark, f"{folder}/words")
         sums = replies.where("block is null").select("data").toLocalIterator()
         all_tokens, all_kinds = (int(x) for x in np.sum([unpack(r.data)[0] for r in sums], axis=0))
 
         def ask(length: int):
             def run(key: tuple, t: pa.Table) -> pa.Table:
                 name, at, data = key[0].as_py(), t.column("bucket").to_pylist(), t.column("data").to_pylist()
-                b = Block(folder, name, length - 1)
+                b = Block(f"{folder}/blocks", name, length - 1)
                 if length == 1:
                     bucket = (b.words >> U64(33)).astype(np.int64) % buckets
                     count = np.zeros(len(b.words), np.int64)
                     for i, d in zip(at, data):
                         count[bucket == i] = unpack(d)[0]
-                    put(folder, f"{name}-1", pack(count))
-                    b = Block(folder, name, 1)
+                    put(f"{folder}/blocks", f"{name}-1", pack(count))
+                    b = Block(f"{folder}/blocks", name, 1)
                 else:
                     Asked(b, length - 1, all_tokens, least, split, buckets).answered(at, data)
                 return Asked(b, length, all_tokens, least, split, buckets).table() if length <= depth else pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.string()), "data": pa.array([], pa.binary())})
@@ -324,16 +332,17 @@ def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth
             return replies.where("block is not null").groupBy("block").applyInArrow(run, REQUEST)
 
         for length in range(1, depth + 2):
-            replies = durable(count_contexts(ask(length), buckets, nats))
+            replies = held(count_contexts(ask(length), buckets, nats), f"answers-{length}")
+            remove(spark, f"{folder}/answers-{length - 1}")
             if replies.isEmpty():
                 break
 
         def finish_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for name in batch.column(0).to_pylist():
-                    yield scored(folder, name, all_tokens, all_kinds)
+                    yield scored(f"{folder}/blocks", name, all_tokens, all_kinds)
 
-        out = durable(opened.select("block").repartition(spread).mapInArrow(finish_blocks, schema))
+        out = durable(names.repartition(spread).mapInArrow(finish_blocks, schema))
     remove(spark, folder)
     return out
 
@@ -345,8 +354,6 @@ def scored(folder: str, name: str, all_tokens: int, all_kinds: int) -> pa.Record
     b = Block(folder, name, 1)
     p = (b.count + ADD) / (all_tokens + ADD * (all_kinds + 1))
     base, p = np.log10(p)[b.word_of], p[b.word_of]
-    from .common import store
-
     files, root = store(folder)
     length = 2
     while files.get_file_info(f"{root}/{name}-{length}").type != fs.FileType.NotFound:
