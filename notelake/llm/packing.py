@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in sliced(batches, 1500):
+        for b in sliced(batches, 600):
             got = enc([t or "" for t in b.column(1).to_pylist()], terms=True)
             for i, (x, w) in zip(b.column(0).to_pylist(), got):
                 ids.append(i)

@@ -29,7 +29,7 @@ PUNCTUATION = ".,;:!?*%$&#()"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Pieces that are remembered at most, and the bytes of the longest; beyond that number, all are forgotten.
-MOST, SHORT = 2_200_000, 48
+MOST, SHORT = 1_600_000, 48
 
 
 class HashIndex:
