@@ -6,9 +6,10 @@ in at most k * distance / 5 bits. For two bits: none in the first two segments,
 The first two segments are the key of a candidate bucket, five keys for a fingerprint; longer chains prune the pairs
 within a bucket before the full Hamming check. Each bucket gives links that span its groups, not all its pairs.
 
-A bucket beyond ``dense`` fingerprints is not compared pair by pair. Its fingerprints go another exact way: two
-fingerprints within two bits have a common point within one bit of both, so each is dealt to its 65 such points, and
-each point, which can have no more than 65, links what it holds. That is linear in the bucket and evenly dealt.
+A bucket beyond ``dense`` fingerprints is split by longer chains: the first three segments may differ in one bit, which is
+then in the third. So a fingerprint owns the place of its third segment and visits the places that differ from it in one
+bit, and only owners and visitors of a place are compared; a place that is still too full is split once more by the
+fourth segment. After that owners of a place differ in the fifth segment alone, so no group grows with the corpus.
 
 Null texts count as empty: their fingerprint is zero and is linked like any other. Rows with the same doc_id are
 fingerprinted one by one and come back one by one, all in the component of their own text. An empty table gives no
@@ -92,26 +93,63 @@ def pigeonring_links(fps: np.ndarray, start: int, distance: int) -> list[tuple[i
     return links
 
 
+def met(own: np.ndarray, visit: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
+    """Links between owners and visitors of a place; the chains run from segment ``start``."""
+    m, out = len(SEGMENTS), []
+    parts = [(U64(sum(SEGMENTS[: s % m])), U64((1 << SEGMENTS[s % m]) - 1)) for s in range(start, start + m)]
+    x, y = own.view(U64), visit.view(U64)
+    for i, u in enumerate(x):
+        rest, gone = np.arange(len(y)), np.zeros(len(y), np.int64)
+        for k, (shift, mask) in enumerate(parts, 1):
+            gone = gone + np.bitwise_count(((y[rest] ^ u) >> shift) & mask).astype(np.int64)
+            ok = gone <= k * distance // m
+            rest, gone = rest[ok], gone[ok]
+        rest = rest[(np.bitwise_count(y[rest] ^ u) <= distance) & (y[rest] != u)]
+        out += [(int(own[i]), int(visit[j])) for j in rest]
+    return out
+
+
 def links(distinct: DataFrame, distance: int = 2, dense: int = 512) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` that connect all within ``distance`` bits."""
     if distance != 2:
-        raise ValueError("the chain budgets and the point method are for two bits")
+        raise ValueError("the chain budgets are for two bits")
     m = len(SEGMENTS)
     key = lambda i: (segment(F.col("fp"), i) * (1 << 13) + segment(F.col("fp"), i + 1)) * m + i
     keyed = distinct.select("fp", F.explode(F.array(*[key(i) for i in range(m)])).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(apart(sizes, "key"), "key")
 
+    def rows_of(got: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [link for k, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for link in pigeonring_links(np.array(f, np.int64), k % m, distance)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            yield rows_of([link for k, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for link in pigeonring_links(np.array(f, np.int64), k % m, distance)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, own, visit in zip(*(b.column(c) for c in ("start", "own", "visit"))):
+                yield rows_of(met(np.array(own.as_py(), np.int64), np.array(visit.as_py(), np.int64), start.as_py(), distance))
+
+    def split(rows: DataFrame, k: int) -> DataFrame:
+        """Rows (start, place, fp, own) dealt out by the k-th segment of their chain: owners to theirs, visitors to all within a bit."""
+        own = F.coalesce(*[F.when(F.col("start") == i, segment(F.col("fp"), i + k)) for i in range(m)])
+        near = F.concat(F.array(own), F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(max(SEGMENTS))]), lambda bit: own.bitwiseXOR(bit)))
+        # the shorter segment has a bit less; its visitors' extra place has no owner
+        rows = rows.select("start", "place", "fp", "own", F.explode(F.when(F.col("own"), F.array(own)).otherwise(near)).alias("at"))
+        rows = rows.select("start", F.xxhash64("place", "at", F.lit(k)).alias("place"), "fp", "own")
+        counts = rows.groupBy("start", "place").agg(F.sum(F.col("own").cast("long")).alias("owners"), F.count("*").alias("n"))
+        return rows.join(counts.where("owners > 0 and n > owners").withColumnRenamed("place", "p").withColumnRenamed("start", "s"), (F.col("place") == F.col("p")) & (F.col("start") == F.col("s"))).drop("p", "s")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        of = lambda c: F.collect_list(F.when(c, F.col("fp")))
+        return rows.groupBy("start", "place").agg(of(F.col("own")).alias("own"), of(~F.col("own")).alias("visit")).mapInArrow(meet, "u long, v long")
 
     sparse = shared.where(F.col("n") <= dense).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).mapInArrow(run, "u long, v long")
-    points = shared.where(F.col("n") > dense).select("fp").distinct()
-    point = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)]))
-    held = points.select("fp", point.alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return sparse.union(held.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v"))).where("u <> v").distinct()
+    full = shared.where(F.col("n") > dense).select((F.col("key") % m).cast("int").alias("start"), F.col("key").alias("place"), "fp", F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    third = durable(split(full, 2))
+    again = third.where(F.col("n") > 4 * dense).select("start", "place", "fp", "own")
+    return sparse.union(compared(third.where(F.col("n") <= 4 * dense))).union(compared(split(again, 3))).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
