@@ -3,7 +3,7 @@
 A word's vector is the sum of three hashed embeddings: of the word, and of its first four and five bytes, so that
 an inflected form of a known stem is known too. Filters of widths 1 to 3 run over the whole text, are max-pooled, and
 a logistic layer makes the score. The model is fitted on the driver on a bounded sample of labelled rows
-(``max_rows``; rare labels first, ordered by a hash of the id); it is small and sent to the executors as it is. A score
+(``max_rows`` of at most ``max_text`` characters each, up to half of them of each label, ordered by a hash of the id); it is small and sent to the executors as it is. A score
 depends on the text alone. The decision threshold of each language is calibrated on the training rows and returned
 beside the score; it never enters it.
 
@@ -215,18 +215,18 @@ def calibrate(model: Model, docs: list[bytes], labels: np.ndarray, langs: list[s
         model.thresholds[lang] = 0.7 if y.min() == y.max() else float(1 / (1 + np.exp(-cut(shifted, y))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, *, max_rows: int = 6000, max_chars: int = 40_000_000, label: str = "toxic") -> Model:
-    """Train on labelled documents for which ``train_rows`` holds: at most ``max_rows``, up to half of them with label 1."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, *, max_rows: int = 6000, max_text: int = 50_000, label: str = "toxic") -> Model:
+    """Train on labelled documents for which ``train_rows`` holds: at most ``max_rows``, up to half of them with label 1.
+
+    Texts of more than ``max_text`` characters train nothing (all are scored whole), so that the driver holds a bounded sample.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).where(train_rows).distinct()
     order = F.xxhash64("doc_id")
     picked = known.where("y = 1").orderBy(order, "doc_id").limit(max_rows // 2).union(known.where("y = 0").orderBy(order, "doc_id").limit(max_rows // 2))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "text")
-    got, chars = [], 0
-    for r in rows.toLocalIterator():
-        chars += len(r.text or "")
-        if chars > max_chars and len(got) > 100:
-            break
-        got.append(((r.text or "").encode(), r.y, r.lang))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), lang.alias("lang")).where(F.char_length("text") <= max_text).join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id", "text").limit(max_rows)
+    got = [(r.text.encode(), r.y, r.lang) for r in rows.toLocalIterator()]
     return train([g[0] for g in got], np.array([g[1] for g in got], np.float64), [g[2] for g in got])
 
 
