@@ -4,7 +4,7 @@ The longest rule that fits a url decides. For the rest hosts are judged: persona
 with allowed pages along host edges, and distrust from hosts with blocked pages against them. Host edges are the links
 of the pages' html to other hosts, counted, and the steps between a host and its parent domain. A host is blocked if
 its share of distrust, distrust / (trust + distrust + 1 / hosts), reaches the threshold: a little distrust from afar, less
-than a host's even share, blocks nothing.
+than a host's even share, blocks nothing. Propagation ends when a round changes all ranks together by less than 1e-9.
 
 Urls that are null or have no ``://`` have an empty host and path, fit no rule and are allowed. A null or empty html has
 no links. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are not read.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Rounds of propagation, rounds between two checkpoints, and the share of a rank that follows edges.
-ROUNDS, EACH, DAMPING = 8, 4, 0.85
+#: Most rounds of propagation (what still moves then is below 0.85^48 of a rank, 4e-4), rounds between two checkpoints,
+#: the share of a rank that follows edges, and the change of all ranks in a round at which it ends.
+ROUNDS, EACH, DAMPING, STILL = 48, 4, 0.85, 1e-9
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
@@ -45,9 +46,14 @@ def longest_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(fits(host, path, r), F.lit(r)) for r in sorted(rules, key=lambda r: (-len(r), r))], F.lit(None).cast("string"))
 
 
+def with_links(pages: DataFrame) -> DataFrame:
+    """The pages with the hosts of their links instead of their html."""
+    return pages.withColumn("links", F.regexp_extract_all("html", F.lit(LINK), 1)).drop("html")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) of links from ``host`` and ``html``, and of steps to and from parent domains."""
-    linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst")).select("src", lower(F.col("dst")).alias("dst"))
+    """(src, dst, n) of ``links`` from ``host``, and of steps to and from parent domains."""
+    linked = pages.select(F.col("host").alias("src"), F.explode("links").alias("dst")).select("src", lower(F.col("dst")).alias("dst"))
     linked = linked.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     hosts = pages.select("host").where("host <> ''").distinct().union(linked.select("dst")).distinct()
     labels = F.split("host", r"\.")
@@ -73,11 +79,16 @@ def propagate(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     rank = seeds
     base = seeds.select("kind", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
     for i in range(1, ROUNDS + 1):
+        was = rank
         r = apart_text(rank, "host").withColumnRenamed("host", "src")
         moved = flow.join(r, ["kind", "src"]).groupBy("kind", "dst").agg((F.sum(F.col("rank") * F.col("p")) * DAMPING).alias("rank"))
         rank = moved.select("kind", F.col("dst").alias("host"), "rank").union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % EACH == 0:
             rank = durable(rank)
+            if i < ROUNDS:
+                moved = rank.select("kind", "host", "rank").union(was.select("kind", "host", (-F.col("rank")).alias("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("d"))
+                if (moved.agg(F.sum("d")).first()[0] or 0.0) < STILL:
+                    break
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -93,11 +104,12 @@ def judge(pages: DataFrame, rules: dict[str, str], *, threshold: float = 0.5, pa
     known = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), "html")
     known = known.withColumn("rule", longest_rule(F.col("host"), F.col("path"), rules))
     says = F.create_map(*[F.lit(x) for r in sorted(rules.items()) for x in r])
-    known = known.withColumn("verdict", says[F.col("rule")])
+    # the pages are read once: what is kept of them has the hosts of their links instead of the html
+    known = durable(with_links(known.withColumn("verdict", says[F.col("rule")])))
     ranks = durable(propagate(known, rules))
     share = F.col("distrust") / (F.col("trust") + F.col("distrust") + 1 / max(known.agg(F.count_distinct("host")).first()[0], 1))
     hosts = apart_text(ranks.select("host", share.alias("distrust_share")), "host")
-    named = known.drop("html").join(hosts, "host", "left")
+    named = known.drop("links").join(hosts, "host", "left")
     verdict = F.coalesce("verdict", F.when(F.coalesce("distrust_share", F.lit(0.0)) >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     return named.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "distrust_share")
 

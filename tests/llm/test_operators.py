@@ -527,7 +527,7 @@ def test_ranks_against_brute_force(spark):
     host, path = url_filter.host_and_path(F.col("url"))
     says = F.create_map(*[F.lit(x) for r in sorted(RULES.items()) for x in r])
     known = pages.select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("verdict", says[url_filter.longest_rule(F.col("host"), F.col("path"), RULES)])
-    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(known, RULES).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(url_filter.with_links(known), RULES).collect()}
     edges = {("a.com", "b.org"): 1, ("a.com", "c.org"): 1, ("b.org", "s.net"): 2, ("s.net", "a.com"): 1, ("t.net", "s.net"): 1, ("c.org", "b.org"): 1}
     hosts = sorted({h for e in edges for h in e})
     for k, (seed, flow) in enumerate((({"a.com": 1.0}, edges), ({"s.net": 1.0}, {(b, a): n for (a, b), n in edges.items()}))):
