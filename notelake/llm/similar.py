@@ -12,7 +12,7 @@ must be within ``DISTANCE`` (which a pair at 0.8 exceeds with a chance of 1e-6).
 similarity of the two sets, so none below 0.8 is linked.
 
 Pairs are checked in two rounds: first each text of a bucket with the bucket's least, then those pairs of each bucket
-whose texts no link connects yet. The groups are those of all pairs, but a cluster of n copies needs about n checks.
+whose texts no head connects yet. The groups are those of all pairs, but a cluster of n copies needs about n checks.
 Pairs of unlike texts in one bucket are looked at by generated code and not written.
 
 Equal sets are one row from the start. Texts without words are near-duplicates of each other; fewer than five words are
@@ -123,7 +123,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column("set"), lists(shingles(texts(b)))], names=["set", "x"])
 
     fps = durable(named.mapInArrow(print_rows, "doc_id long, text_hash long, set long, n long, hi long, lo long, keys array<long>"))
-    distinct = fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id", "n", "hi", "lo", "keys")).alias("p"))
+    distinct = durable(fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id", "n", "hi", "lo", "keys")).alias("p")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) of sets that have at least 0.8 of their union in common."""
@@ -144,7 +144,10 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     star = (F.col("head.set") < F.col("t.set")) & near(F.col("head"), F.col("t"))
     stars = durable(shared.where(star).select(F.col("head.set").alias("u"), F.col("t.set").alias("v")).distinct())
     first = confirmed(stars)
-    label = components(first).withColumnRenamed("node", "set")
+    # a set's label is its least head's least head; sets of one cluster that differ in it are only checked once more
+    head = first.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("head"))
+    above = head.select(F.col("set").alias("head"), F.col("head").alias("top"))
+    label = durable(head.join(apart(above, "head"), "head", "left").select("set", F.coalesce("top", "head").alias("root")))
     labelled = shared.select("key", "t", F.col("t.set").alias("set")).join(apart(label, "set"), "set", "left").select("key", "t", F.coalesce("root", "set").alias("label"))
     mixed = durable(labelled.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high"))
     a, b = (mixed.select("key", F.col("t").alias("t" + side), F.col("label").alias("label" + side)) for side in "ab")
