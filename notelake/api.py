@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ class Notes:
     def __init__(self, spark: SparkSession, root: str, tokenizer: tokens.Tokenizer = tokens.words):
         self.spark, self.store, self.tokenizer = spark, Snapshots(spark, root), tokenizer
 
-    def index(self, vaults: dict[str, str], *, pdf=None, model_id: str = "none", **options) -> DataFrame:
+    def index(self, vaults: dict[str, str], *, pdf=None, vision=None, model_id: str = "none", **options) -> DataFrame:
         """Scan vaults and bring the index up to date; returns the number of files by status."""
-        texts = vault.read_texts(vault.scan(self.spark, vaults, **options), pdf).where("error is null").withColumn("model_id", F.lit(model_id))
+        plan.migrate(self.store)
+        texts = vault.read_texts(vault.scan(self.spark, vaults, **options), pdf, vision).where("error is null").withColumn("model_id", F.lit(model_id))
         return plan.update(self.store, texts.drop("absolute", "hash", "error"), tokenizer=self.tokenizer)
 
     def search(self, query: str, *, query_vector: list[float] | None = None, **knobs) -> Output:
@@ -50,7 +52,43 @@ class Notes:
     def files(self, limit: int = 50, offset: int = 0) -> DataFrame:
         return notes.page(self.store.table("files"), ["vault_name", "path"], limit, offset)
 
-    def read(self, vault_name: str, path: str) -> DataFrame:
+    def history(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        """Files by the time of their last change, newest first."""
+        return notes.page(self.store.table("files"), [F.desc("mtime_ms"), "vault_name", "path"], limit, offset)
+
+    def file(self, vault_name: str, path: str) -> dict | None:
+        """What is known of a file."""
+        row = self.store.table("files").where((F.col("vault_name") == vault_name) & (F.col("path") == path)).first()
+        return row and row.asDict()
+
+    def chunk(self, chunk_id: int) -> dict | None:
+        row = self.store.table("chunks").where(F.col("chunk_id") == chunk_id).first()
+        return row and row.asDict()
+
+    def chunk_ids(self, vault_name: str, path: str) -> list[int]:
+        """Ids of a file's chunks in order; only the file's bucket is read."""
+        key = self.spark.createDataFrame([(vault_name, path)], "vault_name string, file_path string")
+        rows = self.store.table("chunks", buckets=[key.select(self.store.bucket()).first()[0]])
+        return [r.chunk_id for r in rows.where((F.col("vault_name") == vault_name) & (F.col("file_path") == path)).orderBy("chunk_index").select("chunk_id").collect()]
+
+    def path_counts(self) -> DataFrame:
+        """(vault_name, n): files of each vault."""
+        return notes.path_counts(self.store.table("files"))
+
+    def embed(self, embedder, model_id: str) -> int:
+        """Vectors for chunks without one; ``embedder`` maps texts to vectors."""
+        return plan.embed(self.store, embedder, model_id)
+
+    def read(self, vault_name: str, path: str, vaults: dict[str, str] | None = None) -> DataFrame:
+        """The text of a note: from its file where ``vaults`` names the vault and the file is there, else from its chunks."""
+        if vaults and vault_name in vaults:
+            full = vault.safe_path(vaults[vault_name], path)
+            try:
+                text = Path(full).read_text(encoding="utf-8")
+            except (OSError, ValueError):
+                text = None
+            if text is not None:
+                return self.spark.createDataFrame([(vault_name, path, text)], "vault_name string, file_path string, text string")
         rows = self.store.table("chunks").where((F.col("vault_name") == vault_name) & (F.col("file_path") == path))
         return notes.documents(rows)
 

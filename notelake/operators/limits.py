@@ -38,9 +38,13 @@ def rate_limit(events: DataFrame, key: str, most: int, *, id_col: str, ts: str =
 
 def monthly_quota(events: DataFrame, limit: int, *, id_col: str, ts: str = "ts") -> DataFrame:
     """(id, month, n, admitted): the first ``limit`` requests of each month pass."""
-    month = F.date_format(ts, "yyyy-MM")
-    n = F.row_number().over(Window.partitionBy("month").orderBy("ts", "id"))
-    return events.select(F.col(id_col).alias("id"), F.col(ts).alias("ts"), month.alias("month")).withColumn("n", n).withColumn("admitted", F.col("n") <= limit).drop("ts")
+    hour = F.date_trunc("hour", ts)
+    rows = events.select(F.col(id_col).alias("id"), F.col(ts).alias("ts"), F.date_format(ts, "yyyy-MM").alias("month"), hour.alias("hour"))
+    # a month is one row an hour before it is ordered, and calls are ordered within their hour
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("month").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = rows.groupBy("month", "hour").agg(F.count("*").alias("size")).select("month", "hour", before.alias("before"))
+    n = F.col("before") + F.row_number().over(Window.partitionBy("month", "hour").orderBy("ts", "id"))
+    return rows.join(hours, ["month", "hour"]).withColumn("n", n).select("id", "month", "n", (F.col("n") <= limit).alias("admitted"))
 
 
 def monthly_usage(events: DataFrame, ts: str = "ts") -> DataFrame:

@@ -39,6 +39,11 @@ def backlink_counts(files: DataFrame, links: DataFrame) -> DataFrame:
     return files.drop("backlink_count").join(n, ["vault_name", "path"], "left").withColumn("backlink_count", F.coalesce("backlink_count", F.lit(0)))
 
 
+def path_counts(files: DataFrame) -> DataFrame:
+    """(vault_name, n): distinct paths of each vault."""
+    return files.groupBy("vault_name").agg(F.count_distinct("path").alias("n"))
+
+
 def tag_counts(chunks: DataFrame) -> DataFrame:
     """(vault_name, tag, count): each occurrence in each chunk's list counts."""
     spread = chunks.select("vault_name", F.explode(F.split("tags", ",")).alias("tag")).select("vault_name", F.trim("tag").alias("tag"))

@@ -31,8 +31,8 @@ def cluster(chars: list[Line]) -> list[Line]:
         if line is None:
             out.append(Line(c.text, c.x0, c.y0, c.x1, c.y1, c.font_size))
         else:
-            line.text += c.text
-            line.x0, line.y0 = min(line.x0, c.x0), min(line.y0, c.y0)
+            line.text += c.text  # the line keeps its first left edge
+            line.y0 = min(line.y0, c.y0)
             line.x1, line.y1 = max(line.x1, c.x1), max(line.y1, c.y1)
     return sorted(out, key=lambda x: -x.y0)
 
@@ -70,14 +70,38 @@ def reading_order(lines: list[Line], page_width: float) -> list[Line]:
 
 
 def body_size(lines: list[Line]) -> float:
-    """The most frequent font size in half points, ties to the smaller (Q23)."""
+    """The most frequent font size in half points, ties to the smaller (Q23); 12 without lines."""
     sizes = Counter(round(x.font_size * 2) for x in lines)
-    return min(sizes, key=lambda s: (-sizes[s], s)) / 2 if sizes else 0.0
+    return min(sizes, key=lambda s: (-sizes[s], s)) / 2 if sizes else 12.0
 
 
 def to_markdown(lines: list[Line], body: float) -> str:
-    mark = lambda x: next((m for ratio, m in HEADINGS if body > 0 and x.font_size / body >= ratio), "")
-    return "\n".join(mark(x) + x.text for x in lines)
+    """Trimmed lines; headings stand between blank lines, and lines of white space are gone."""
+    out: list[str] = []
+    for x in lines:
+        if not (text := x.text.strip()):
+            continue
+        mark = next((m for ratio, m in HEADINGS if body > 0 and x.font_size / body >= ratio), "")
+        out += [*([""] if mark and out else []), mark + text, *([""] if mark else [])]
+    return "\n".join(out)
+
+
+def page_text(chars: list[Line], page_width: float) -> str:
+    lines = cluster([c for c in chars if c.text.strip()])
+    return to_markdown(reading_order(lines, page_width), body_size(lines))
+
+
+def extractor(backend):
+    """What ``vault.read_texts`` takes as ``pdf``: ``backend`` maps a file's bytes to pages of (width, characters).
+
+    A character is (text, x0, y0, x1, y1, font_size), in the order of the file, its origin at the bottom left. Pages
+    without text leave no trace.
+    """
+
+    def run(data: bytes) -> str:
+        return "\n".join(t for width, chars in backend(data) if (t := page_text([Line(*c) for c in chars], width)))
+
+    return run
 
 
 def pages(chars: DataFrame, page_width: float) -> DataFrame:
@@ -86,7 +110,6 @@ def pages(chars: DataFrame, page_width: float) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         rows = [Line(*r) for r in pdf[["text", "x0", "y0", "x1", "y1", "font_size"]].itertuples(index=False)]
-        lines = cluster(rows)
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "page": [pdf["page"].iloc[0]], "markdown": [to_markdown(reading_order(lines, page_width), body_size(lines))]})
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "page": [pdf["page"].iloc[0]], "markdown": [page_text(rows, page_width)]})
 
     return chars.groupBy("doc", "page").applyInPandas(run, "doc string, page int, markdown string")

@@ -60,6 +60,7 @@ def backlink_boost(hits: DataFrame, counts: DataFrame, mode: str) -> DataFrame:
 
 
 def order(hits: DataFrame, mode: str, tie: str = "chunk_id") -> DataFrame:
+    """Best first; ties by ``tie``, which is ``ord`` where rows have an earlier order to keep."""
     return hits.orderBy(F.desc("score") if mode == "hybrid" else F.asc("score"), tie)
 
 

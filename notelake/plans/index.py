@@ -45,8 +45,9 @@ def derive(texts: DataFrame, *, first_id: int = 1, tokenizer: tokens.Tokenizer =
     """files, chunks, tasks and link names of ``texts(vault_name, path, text, mtime_ms, file_size, model_id)``; ``rows`` may hold their chunk_rows."""
     chunks = with_ids(chunk_rows(texts, tokenizer, entries) if rows is None else rows, first_id)
     found = texts.where("text is not null")
+    seen = F.col("vlm_hash") if "vlm_hash" in texts.columns else F.lit(None).cast("string")
     sized = notes.char_counts(chunks).withColumnRenamed("file_path", "path")
-    files = found.select("vault_name", "path", F.sha2("text", 256).alias("hash"), "mtime_ms", "model_id", "file_size").join(sized, ["vault_name", "path"], "left")
+    files = found.select("vault_name", "path", F.sha2("text", 256).alias("hash"), "mtime_ms", "model_id", "file_size", seen.alias("vlm_hash")).join(sized, ["vault_name", "path"], "left")
     tasks = found.select("vault_name", F.col("path").alias("file_path"), F.explode(C.tasks(F.col("text"))).alias("t")).select("vault_name", "file_path", "t.*")
     names = found.select("vault_name", F.col("path").alias("source"), F.explode(C.wikilinks(F.col("text"))).alias("name"))
     return {"files": files, "chunks": chunks, "tasks": tasks, "names": names}
@@ -132,6 +133,17 @@ def clear_vlm_hashes(store: Snapshots, vault_name: str | None = None) -> int:
     return store.commit({"files": store.table("files").withColumn("vlm_hash", F.when(~ours, F.col("vlm_hash")))})
 
 
+def record_usage(store: Snapshots, kind: str, model_id: str, texts: int, *, limit: int | None = None) -> int:
+    """Note a call of a service, and refuse it beyond ``limit`` calls of its kind in this month; the calls so far."""
+    used = store.table("usage")
+    n = used.where((F.col("kind") == kind) & (F.date_trunc("month", "ts") == F.date_trunc("month", F.current_timestamp()))).count()
+    if limit is not None and n >= limit:
+        raise PermissionError(f"{kind}: the month's {limit} calls are used up")
+    one = store.spark.createDataFrame([(kind, model_id, texts)], "kind string, model_id string, texts long").withColumn("ts", F.current_timestamp())
+    store.commit({"usage": used.unionByName(one)})
+    return n + 1
+
+
 def forget_files(store: Snapshots, gone: DataFrame) -> int:
     """Drop files from the cache alone, so that the next scan takes them for new."""
     return store.commit({"files": store.table("files").join(gone.select(*changes.KEY), changes.KEY, "left_anti")})

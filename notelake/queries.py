@@ -6,6 +6,8 @@ are built from ``part`` by one expression that both engines read.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import tokens
-from .operators import bm25, changes, limits, notes, ranking, vectors
-from .plans.index import chunk_rows
+from .operators import bm25, changes, limits, notes, pdf, ranking, vectors
+from .plans.index import chunk_rows, search_tables, update
 from .plans.search import Request, search
+from .sources.snapshot import Snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,6 +276,26 @@ def hybrid(spark, sf):
     return rounded(out.results.select("chunk_id", "score"), "score")
 
 
+TITLED = "contains(lower(title), 'the') OR contains(lower(title), 'of')"
+
+
+@query(bm25_sql([["the"], ["of"]], f", b AS (SELECT chunk_id, CASE WHEN {TITLED} THEN (CASE WHEN score < 0 THEN score / 0.3 ELSE score * 0.3 END) ELSE score END AS score FROM s JOIN {DOCS} d USING (chunk_id)), k AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS r1 FROM b QUALIFY r1 <= 20), n AS (SELECT vec_id AS chunk_id, title, {L2} AS l2 FROM embeddings JOIN {DOCS} d ON d.chunk_id = vec_id, {Q} ORDER BY l2, 1 LIMIT 10), v AS (SELECT chunk_id, row_number() OVER (ORDER BY CASE WHEN {TITLED} THEN l2 * 0.3 ELSE l2 END, chunk_id) AS r2 FROM n), f AS (SELECT chunk_id, coalesce(1.0 / (60 + r1), 0) + coalesce(1.0 / (60 + r2), 0) AS score FROM k FULL OUTER JOIN v USING (chunk_id) ORDER BY 2 DESC, 1 LIMIT 10) SELECT chunk_id, round(CAST(CASE WHEN {TITLED} THEN score / 0.3 ELSE score END + 0.05 * (chunk_id % 5) AS DOUBLE), 6) AS score FROM f JOIN {DOCS} d USING (chunk_id)").replace(") , b AS", "), b AS"))
+def hybrid_boosted(spark, sf):
+    """Boosts of titles in both legs and after fusion, and of backlinks at the end."""
+    chunks = docs(spark, sf).withColumn("emphasized_text", F.lit(""))
+    linked = chunks.select("vault_name", F.col("file_path").alias("path"), (F.col("chunk_id") % 5).alias("backlink_count"))
+    out = search(chunks, text_index(spark, sf), Request("the of", limit=10), vector_table=embedded(spark, sf).select("chunk_id", "embedding"), files=linked, query_vector=first_vector(spark, sf), tokenizer=tokens.whitespace)
+    return rounded(out.results.select("chunk_id", "score"), "score")
+
+
+@query(bm25_sql(AND, f"SELECT chunk_id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY score, chunk_id LIMIT 41) JOIN {DOCS} d USING (chunk_id) WHERE list_contains(list_transform(string_split(tags, ','), lambda t: lower(trim(t))), 't3') ORDER BY score, chunk_id LIMIT 40"))
+def fts_pool_reference(spark, sf):
+    """The other reading of filters: the best are picked first, then filtered, so a page may be short."""
+    chunks = docs(spark, sf).withColumn("title", F.lit("")).withColumn("emphasized_text", F.lit(""))
+    out = search(chunks, text_index(spark, sf), Request("der und", limit=40, mode="fts", tag_filter="t3", pool="reference"), tokenizer=tokens.whitespace)
+    return rounded(out.results.select("chunk_id", "score"), "score")
+
+
 def mmr_sql(picks: int, balance: float) -> str:
     cos = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
     pool = f"c AS (SELECT vec_id, embedding, {COS} AS s, row_number() OVER (ORDER BY {L2}, vec_id) AS ord FROM embeddings, {Q} QUALIFY ord <= 30)"
@@ -343,10 +366,10 @@ def ident_split(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("part"), F.array_join(C.identifier_parts(token), "|").alias("parts"))
 
 
-@query("SELECT doc_id, lower(nfc_normalize(substr(text, 1, 40))) AS head FROM documents WHERE regexp_matches(substr(text, 1, 40), '^[a-zA-Z ,.]*$')")
+@query("SELECT doc_id, sha256(lower(nfc_normalize(text))) AS hash FROM documents")
 def normalize(spark, sf):
-    head = F.substring("text", 1, 40)
-    return table(spark, sf, "documents").where(head.rlike("^[a-zA-Z ,.]*$")).select("doc_id", C.normalise(head).alias("head"))
+    # the texts hold no compatibility characters, for which SQL has no form; tests hold those against fixed values
+    return table(spark, sf, "documents").select("doc_id", F.sha2(C.normalise(F.col("text")), 256).alias("hash"))
 
 
 @query("SELECT doc_id, 'New York City|is|ChatGPT|' || lang AS merged FROM documents")
@@ -355,6 +378,17 @@ def user_dict(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(C.user_dictionary(parts, {"New York", "New York City", "ChatGPT"}), "|").alias("merged"))
 
 
+@query("SELECT CAST(p_partkey AS STRING) AS doc, 1 AS page, '# ' || p_name || chr(10) || chr(10) || chr(10) || '## ' || p_type || chr(10) || chr(10) || p_brand || chr(10) || 'size' || p_size || chr(10) || 'of ' || p_brand || chr(10) || 'no. ' || p_partkey AS markdown FROM part")
+def pdf_pages(spark, sf):
+    """A heading across the page, a smaller one below, and two columns, whose characters come line by line across both."""
+    lines = (("p_name", 0, 90, 200, 24), ("p_type", 0, 70, 180, 15), ("p_brand", 0, 50, 90, 12), ("'of ' || p_brand", 110, 50, 200, 12), ("'size' || p_size", 0, 34, 90, 12), ("'no. ' || p_partkey", 110, 34, 200, 12))
+    parts = [f"named_struct('n', {i}, 'text', {t}, 'x0', CAST({x0} AS DOUBLE), 'y0', CAST({y0} AS DOUBLE), 'x1', CAST({x1} AS DOUBLE), 'y1', CAST({y0 + 10} AS DOUBLE), 'font_size', CAST({size} AS DOUBLE))" for i, (t, x0, y0, x1, size) in enumerate(lines)]
+    rows = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS doc", "1 AS page", f"explode(array({', '.join(parts)})) AS c").select("doc", "page", "c.*")
+    # columns are far apart in height by a hair, so that no two make one line
+    rows = rows.withColumn("y0", F.when(F.col("x0") > 0, F.col("y0") - 7).otherwise(F.col("y0"))).withColumn("y1", F.col("y0") + 10)
+    return pdf.pages(rows, 210.0)
+
+
 # --- links, tags, tasks, statistics ----------------------------------------------------------------------------------
 
 
@@ -525,10 +559,10 @@ def snippet_without_hit(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.snippet(F.col("text"), "qqqqqq", 3, 80).alias("snippet"))
 
 
-@query("SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS snippet FROM (SELECT doc_id, string_split(rtrim(substr(text, instr(lower(text), 'the')), chr(10)), chr(10))[1] AS t FROM documents WHERE lang = 'en' AND contains(lower(text), 'the'))")
+@query("SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS snippet FROM (SELECT doc_id, string_split(rtrim(substr(text, instr(lower(text), 'en')), chr(10)), chr(10))[1] AS t FROM documents WHERE contains(lower(text), 'en'))")
 def snippet_at_hit(spark, sf):
-    rows = table(spark, sf, "documents").where("lang = 'en' AND contains(lower(text), 'the')")
-    return rows.select("doc_id", C.snippet(F.col("text"), "the", 0, 120).alias("snippet"))
+    rows = table(spark, sf, "documents").where("contains(lower(text), 'en')")
+    return rows.select("doc_id", C.snippet(F.col("text"), "en", 0, 120).alias("snippet"))
 
 
 @query("SELECT event_id AS id, strftime(ts, '%Y-%m') AS month, n, n <= 500 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM events)")
@@ -546,6 +580,11 @@ def rate_limit(spark, sf):
     return limits.rate_limit(table(spark, sf, "events"), "event_type", 1, id_col="event_id").select(F.col("event_type").alias("key"), "id", "admitted")
 
 
+@query("SELECT event_type AS key, event_id AS id, admitted FROM (WITH RECURSIVE o AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), w AS (SELECT event_type, event_id, n, true AS admitted, [us] AS held FROM o WHERE n = 1 UNION ALL SELECT o.event_type, o.event_id, o.n, len(list_filter(w.held, lambda h: o.us - h < 1000000)) < 3, CASE WHEN len(list_filter(w.held, lambda h: o.us - h < 1000000)) < 3 THEN list_append(list_filter(w.held, lambda h: o.us - h < 1000000), o.us) ELSE list_filter(w.held, lambda h: o.us - h < 1000000) END FROM w JOIN o ON o.event_type = w.event_type AND o.n = w.n + 1) SELECT * FROM w)")
+def rate_limit_many(spark, sf):
+    return limits.rate_limit(table(spark, sf, "events"), "event_type", 3, id_col="event_id").select(F.col("event_type").alias("key"), "id", "admitted")
+
+
 @query(f"SELECT directory, count(*) AS count, directory = 'src3/build' AS known FROM (SELECT CASE WHEN source = 'src3' THEN 'src3/build' ELSE source END AS directory, n FROM (SELECT source, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE source = 'src3' OR n >= 50) GROUP BY 1")
 def noise_dirs(spark, sf):
     path = F.concat_ws("/", F.when(F.col("source") == "src3", "src3/build").otherwise(F.col("source")), F.col("doc_id").cast("string"))
@@ -567,12 +606,43 @@ def sha_dedup(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("SELECT doc_id, n_chars AS chars FROM documents")
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors see; only a local master may do without a setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="notelake-")
+    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    return made(spark, sf).select("*", F.col("part").alias("mtime_ms"), F.octet_length("text").cast("long").alias("file_size"), F.lit("none").alias("model_id"))
+
+
+PER_NOTE = f"SELECT f.vault_name, f.path, CAST(count(r.source) AS BIGINT) AS backlink_count, CAST(2 AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS tasks FROM {MADE} f LEFT JOIN {RESOLVED} r ON r.vault_name = f.vault_name AND r.target = f.path"
+
+
+@query(f"{PER_NOTE} WHERE f.part % 7 <> 0 AND (r.source IS NULL OR CAST(regexp_extract(r.source, '([0-9]+)', 1) AS BIGINT) % 7 <> 0) GROUP BY 1, 2 UNION ALL SELECT vault_name, path, 0, 2, 2 FROM {MADE} f WHERE f.part % 7 <> 0 AND EXISTS (SELECT 1 FROM {RESOLVED} r WHERE r.vault_name = f.vault_name AND r.target = f.path) AND NOT EXISTS (SELECT 1 FROM {RESOLVED} r WHERE r.vault_name = f.vault_name AND r.target = f.path AND CAST(regexp_extract(r.source, '([0-9]+)', 1) AS BIGINT) % 7 <> 0)")
 def incremental_equals_batch(spark, sf):
-    """Two halves of a table, one after the other, give what the whole gives."""
-    d = table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("long").alias("chars"))
-    first, second = d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0 OR doc_id % 2 = 1")
-    return changes.upsert(changes.upsert(d.where(F.lit(False)), first, ["doc_id"]), second, ["doc_id"])
+    """An index brought up in two halves, links to later notes among them, changed, and rid of some files, gives what one scan of the last texts gives."""
+    d, store = scanned(spark, sf), Snapshots(spark, scratch(spark), buckets=4)
+    update(store, d.where("part % 2 = 0").withColumn("text", F.concat("text", F.lit("\n[[nowhere]]"))).withColumn("mtime_ms", F.lit(0).cast("long")))
+    update(store, d.where("part % 2 = 1"), complete=False)
+    update(store, d.where("part % 2 = 0"), complete=False, removed=d.where("part % 7 = 0 AND part % 2 = 1"))
+    update(store, d.where("part % 7 <> 0"))
+    per = lambda t: store.table(t).groupBy("vault_name", F.col("file_path").alias("path")).agg(F.count("*").alias(t))
+    return store.table("files").select("vault_name", "path", "backlink_count").join(per("chunks"), ["vault_name", "path"]).join(per("tasks"), ["vault_name", "path"])
+
+
+@query(bm25_sql(AND, TOP10))
+def fts_stored(spark, sf):
+    """Over an index that is written as tables first, by bucket and term."""
+    store = Snapshots(spark, scratch(spark), buckets=4)
+    chunks = docs(spark, sf).withColumn("tokenized_content", F.col("content"))
+    made_tables = search_tables(chunks)
+    store.commit(made_tables | {"stats": made_tables["lengths"].agg(F.count("*").alias("n_docs"), F.sum("dl").alias("terms"))})
+    return top10(bm25.match(bm25.stored(store.table("postings"), store.table("stats")), AND))
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, CAST(sum(CAST(tagged AS INT)) AS BIGINT) AS tagged FROM (SELECT unnest([0, 1]) AS i, p_partkey AS file_path, true AS tagged FROM part)")

@@ -62,27 +62,37 @@ def scan(spark: SparkSession, vaults: dict[str, str], **options) -> DataFrame:
     return spark.createDataFrame(list(walk(vaults, **options)), SCHEMA)
 
 
-def read_texts(files: DataFrame, pdf=None) -> DataFrame:
-    """``files`` with text, hash and error: text that is no UTF-8, or a PDF without an extractor, is an error.
+def read_texts(files: DataFrame, pdf=None, vision=None, least: int = 1) -> DataFrame:
+    """``files`` with text, hash, error and vlm_hash: text that is no UTF-8, or a PDF without an extractor, is an error.
 
-    ``pdf`` maps the bytes of a PDF to its text. Files must be on storage that executors mount.
+    ``pdf`` maps the bytes of a PDF to its text. Where that has fewer than ``least`` characters, ``vision``, a model that
+    reads pictures of pages, maps the bytes to a text, and vlm_hash is the hash of the bytes it has read. Its failure is no
+    error: the extractor's text stays. Files must be on storage that executors mount.
     """
 
     def run(batches):
         for b in batches:
-            texts, hashes, errors = [], [], []
+            texts, hashes, errors, seen = [], [], [], []
             for name in b["absolute"]:
                 try:
                     data = Path(name).read_bytes()
                     if name.endswith(".pdf") and pdf is None:
                         raise ValueError("no PDF extractor")
-                    texts.append(pdf(data) if name.endswith(".pdf") else data.decode())
-                    hashes.append(hashlib.sha256(texts[-1].encode()).hexdigest())
+                    text, read = (pdf(data), None) if name.endswith(".pdf") else (data.decode(), None)
+                    if name.endswith(".pdf") and vision is not None and len(text.strip()) < least:
+                        try:
+                            text, read = vision(data), hashlib.sha256(data).hexdigest()
+                        except Exception:  # noqa: BLE001  the model is a hook
+                            read = None
+                    texts.append(text)
+                    hashes.append(hashlib.sha256(text.encode()).hexdigest())
                     errors.append(None)
+                    seen.append(read)
                 except (OSError, ValueError) as e:
                     texts.append(None)
                     hashes.append(None)
                     errors.append(str(e))
-            yield b.assign(text=pd.Series(texts, index=b.index, dtype=object), hash=pd.Series(hashes, index=b.index, dtype=object), error=pd.Series(errors, index=b.index, dtype=object))
+                    seen.append(None)
+            yield b.assign(text=pd.Series(texts, index=b.index, dtype=object), hash=pd.Series(hashes, index=b.index, dtype=object), error=pd.Series(errors, index=b.index, dtype=object), vlm_hash=pd.Series(seen, index=b.index, dtype=object))
 
-    return files.mapInPandas(run, SCHEMA + ", text string, hash string, error string")
+    return files.mapInPandas(run, SCHEMA + ", text string, hash string, error string, vlm_hash string")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators.limits import admit
 from ..plans import index
+from ..sources import vault
 from ..sources.snapshot import Snapshots
 
 #: A file event: upsert (with its text) or delete; a rename is a delete and an upsert.
@@ -31,6 +34,46 @@ def apply(store: Snapshots, events: DataFrame) -> None:
     now.unpersist()
 
 
+def produce(store: Snapshots, vaults: dict[str, str], folder: str, **options) -> int:
+    """Compare vaults with the index and write what changed as a file of events into ``folder``; returns their number.
+
+    Only files whose time or size differs from the index are read. ``read_events`` streams the folder.
+    """
+    spark = store.spark
+    seen = vault.scan(spark, vaults, **options)
+    known = store.table("files").select("vault_name", "path", F.col("mtime_ms").alias("m"), F.col("file_size").alias("s"))
+    both = seen.join(known, ["vault_name", "path"], "full_outer").where("m is null or mtime_ms is null or m <> mtime_ms or s <> file_size")
+    came = vault.read_texts(both.where("mtime_ms is not null").select("vault_name", "path", "absolute", "mtime_ms", "file_size")).where("error is null")
+    came = came.select(F.lit("upsert").alias("kind"), "vault_name", "path", "text", "mtime_ms", "file_size")
+    gone = both.where("mtime_ms is null").select(F.lit("delete").alias("kind"), "vault_name", "path", F.lit(None).cast("string").alias("text"), "mtime_ms", "file_size")
+    events = came.unionByName(gone).withColumn("seq", F.lit(time.time_ns())).withColumn("model_id", F.lit("none")).persist()
+    n = events.count()
+    if n:
+        events.coalesce(1).write.mode("append").json(folder)
+    events.unpersist()
+    return n
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(EVENT).json(folder)
+
+
+def watch(store: Snapshots, vaults: dict[str, str], folder: str, *, every: float = 2.0, rounds: int | None = None, **options) -> int:
+    """Keep the index current: look at the vaults each ``every`` seconds, and apply what changed as a stream; returns the events."""
+    import os
+
+    os.makedirs(f"{folder}/events", exist_ok=True)
+    total, done = 0, 0
+    while rounds is None or done < rounds:
+        n = produce(store, vaults, f"{folder}/events", **options)
+        if n:
+            follow(read_events(store.spark, f"{folder}/events"), store, f"{folder}/checkpoint").awaitTermination()
+        total, done = total + n, done + 1
+        if rounds is None or done < rounds:
+            time.sleep(every)
+    return total
+
+
 def follow(events: DataFrame, store: Snapshots, checkpoint: str):
     """Start the query that applies a stream of events; each micro-batch is one snapshot."""
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: apply(store, batch)).start()
@@ -56,6 +99,26 @@ def limit_stream(calls: DataFrame, most: int) -> DataFrame:
     return calls.groupBy("key").applyInPandasWithState(run, "key string, id long, ts timestamp, admitted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+class Progress(StreamingQueryListener):
+    """Keeps the rows and the time of each micro-batch of the session's streams: ``spark.streams.addListener(Progress())``."""
+
+    def __init__(self):
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append({"name": p.name, "batch": p.batchId, "rows": p.numInputRows, "ms": p.durationMs.get("triggerExecution", 0)})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def progress(changes: DataFrame) -> DataFrame:
     """Running tallies of a stream of statuses."""
     return changes.groupBy("status").agg(F.count("*").alias("n"))

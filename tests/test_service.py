@@ -14,7 +14,7 @@ def service(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("vault")
     (root / "a.md").write_text("# A\nproject one, mail x@y.example")
     (root / "b.md").write_text("# B\nsecond project\n\n## C\nmore")
-    s = Service(Notes(spark, str(tmp_path_factory.mktemp("index"))), "key", {"v": str(root)})
+    s = Service(Notes(spark, str(tmp_path_factory.mktemp("index"))), "key", {"v": str(root)}, ("http://a.example",))
     assert s.rebuild_index() == {"inserted": 2}
     return s
 
@@ -31,17 +31,23 @@ def test_http(service):
             return e.code, json.loads(e.read())
 
     key = {"X-API-Key": "key"}
-    assert get("/health")[0] == 401 and get("/health", Authorization="Bearer key") == (200, {"status": "ok", "version": 1})
-    status, found = get("/search?q=project&limit=1&mode=fts", **key)
-    assert status == 200 and len(found["results"]) == 1 and found["total"] == 2 and found["next_cursor"]
-    status, rest = get("/search?q=project&limit=1&offset=1", **key)
+    api = "/api/v1"
+    assert get(f"{api}/health") == (200, {"status": "ok", "version": 1}) and get(f"{api}/stats")[0] == 401 and get(f"{api}/stats", Authorization="Bearer key")[0] == 200
+    status, found = get(f"{api}/search?q=project&limit=1&mode=fts", **key)
+    assert status == 200 and found["count"] == len(found["results"]) == 1 and found["total"] == 2 and found["next_cursor"] and (found["offset"], found["limit"]) == (0, 1)
+    status, rest = get(f"{api}/search?q=project&limit=1&offset=1&backlinks=false&alpha=0.5", **key)
     assert rest["mode"] == "fts" and rest["results"][0]["file_path"] != found["results"][0]["file_path"]
-    assert get("/search?q=", **key)[0] == get("/search?q=a&mode=x", **key)[0] == get("/list?limit=x", **key)[0] == 400
-    assert get("/nothing", **key)[0] == get("/read?vault=v&path=no.md", **key)[0] == 404
-    assert get("/search?q=a&mode=vec", **key)[0] == 500
-    assert get("/read?vault=v&path=b.md", **key)[1]["content"] == "second project\nmore"
-    assert [f["path"] for f in get("/list", **key)[1]["files"]] == ["a.md", "b.md"]
-    assert get("/stats", **key)[1]["total_chunks"] == 3
+    assert get(f"{api}/search?q=", **key)[0] == get(f"{api}/search?q=a&mode=x", **key)[0] == get(f"{api}/list?limit=x", **key)[0] == get(f"{api}/search?q=a&alpha=x", **key)[0] == 400
+    assert get("/nothing", **key)[0] == get(f"{api}/read?vault=w&path=no.md", **key)[0] == 404 and get(f"{api}/read?vault=v&path=../b.md", **key)[0] == 400
+    assert get(f"{api}/search?q=a&mode=vec", **key)[0] == 500
+    assert get(f"{api}/read?vault=v&path=b.md", **key)[1]["content"].startswith("# B\nsecond project")
+    assert [f["path"] for f in get(f"{api}/list", **key)[1]["files"]] == ["a.md", "b.md"]
+    assert get(f"{api}/stats", **key)[1]["total_chunks"] == 3
+    page = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/ui")
+    assert page.headers["Content-Type"].startswith("text/html") and b"/api/v1/search" in page.read()
+    for origin, ok in (("http://a.example", True), ("http://b.example", False)):
+        r = urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{api}/health", method="OPTIONS", headers={"Origin": origin}))
+        assert r.status == 204 and (r.headers["Access-Control-Allow-Origin"] == origin) is ok
     server.shutdown()
 
 
