@@ -6,14 +6,13 @@ differ in 19 bits on average (standard deviation 4), so segments of bits as buck
 the least hashes under ``ROWS`` orders make one of ``TABLES`` keys. Texts of similarity J share no key with a chance of
 (1 - J^4)^26: 8e-7 at 0.8, less above, and the same for scattered edits, appended, cut and replaced blocks.
 
-Within a bucket a pair goes through pigeonring filtering: from some of the eight 16-bit segments of the fingerprints on
-the ring, every chain of k consecutive segments must differ in at most k * DISTANCE / 8 bits; then the whole distance
-must be within ``DISTANCE`` (which a pair at 0.8 exceeds with a chance of 1e-6). What is left is confirmed by the exact
-similarity of the two sets, so none below 0.8 is linked.
-
-Pairs are checked in two rounds: first each text of a bucket with the bucket's least, then those pairs of each bucket
-whose texts no head connects yet. The groups are those of all pairs, but a cluster of n copies needs about n checks.
-Pairs of unlike texts in one bucket are looked at by generated code and not written.
+Buckets with the same least set are one group, whose sets meet in one task, in chunks of ``CHUNK``. There each set that
+no link has reached yet is compared by pigeonring filtering: from some of the eight 16-bit segments of the fingerprints
+on the ring, every chain of k consecutive segments must differ in at most k * DISTANCE / 8 bits, the whole ring among
+them (which a pair at 0.8 exceeds with a chance of 1e-6). What is left is confirmed by the exact similarity of the two
+sets, counted through an inverted index of the chunk, so none below 0.8 is linked. Only links that span the groups leave
+the task, never pairs. Of a group of several chunks, the sets that are not in its largest component yet visit the other
+chunks in a second round; so all pairs of the group are compared but those that links connect already.
 
 Equal sets are one row from the start. Texts without words are near-duplicates of each other; fewer than five words are
 one shingle. Null texts count as empty. Rows are grouped by their texts alone, so rows without an id, and rows with the same
@@ -26,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, durable, mix, sliced, texts
+from .common import U64, durable, mix, ranges, sliced, texts
 from .components import apart, components
 from .substring import rolling
 from .words import Words
@@ -40,6 +39,8 @@ TABLES, ROWS = 26, 4
 _TIMES = np.random.default_rng(20240301).integers(1 << 63, size=(TABLES * ROWS, 1), dtype=np.uint64) * U64(2) + U64(1)
 #: Segments of a fingerprint on the ring, and the bits in which two near-duplicates differ at most.
 SEGMENTS, DISTANCE = 8, 40
+#: Sets of a chunk.
+CHUNK = 1024
 #: Sets are alike from NEAR_OF / NEAR_IN of their union on.
 NEAR_IN, NEAR_OF = 4, 5
 
@@ -85,21 +86,62 @@ def prints(docs: list[bytes]) -> Iterator[tuple[int, int, int, int, np.ndarray]]
         yield mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64).item(), len(x), *fingerprint(x), keys(x)
 
 
-def chained(a: Column, b: Column) -> Column:
-    """Whether two structs with ``hi`` and ``lo`` pass the pigeonring's chains, and then the whole distance."""
-    halves = [a["hi"].bitwiseXOR(b["hi"]), a["lo"].bitwiseXOR(b["lo"])]
-    ring = [F.bit_count(F.shiftrightunsigned(halves[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)]
-    most = [k * DISTANCE // SEGMENTS for k in range(SEGMENTS + 1)]
-
-    def chain(gone: Column, start: Column) -> Column:
-        ok, total = gone[start] <= most[1], gone[start]
-        for k in range(2, SEGMENTS + 1):
-            total = total + gone[F.pmod(start + F.lit(k - 1), F.lit(SEGMENTS))]
-            ok = ok & (total <= most[k])
-        return ok
-
-    # the list around the ring's differences gives them a name, so that they are counted once; the last link is the whole distance
-    return F.exists(F.array(F.array(*ring)), lambda gone: F.exists(F.array(*map(F.lit, range(SEGMENTS))), lambda start: chain(gone, start)))
+def chained(hi: np.ndarray, lo: np.ndarray, i: int) -> np.ndarray:
+    """Which fingerprints pass the pigeonring's chains with the i-th; the last link of a chain is the whole distance."""
+    halves = hi.view(U64) ^ hi.view(U64)[i], lo.view(U64) ^ lo.view(U64)[i]
+    ring = [np.bitwise_count((halves[k // 4] >> U64(16 * (k % 4))) & U64(0xFFFF)).astype(np.int16) for k in range(SEGMENTS)]
+    some = np.zeros(len(hi), bool)
+    for start in range(SEGMENTS):
+        ok, gone = np.ones(len(hi), bool), np.zeros(len(hi), np.int16)
+        for k in range(SEGMENTS):
+            gone = gone + ring[(start + k) % SEGMENTS]
+            ok &= gone <= (k + 1) * DISTANCE // SEGMENTS
+        some |= ok
+    return some
+
+
+class Inverted:
+    """Which sets of a list have a hash."""
+
+    def __init__(self, sets: list[np.ndarray], which: np.ndarray):
+        self.which = which
+        lens = np.array([len(sets[i]) for i in which])
+        flat = np.concatenate([sets[i] for i in which])
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owner = flat[order], np.repeat(np.arange(len(which)), lens)[order]
+
+    def common(self, x: np.ndarray) -> np.ndarray:
+        """How many hashes each listed set shares with x."""
+        low, high = np.searchsorted(self.hashes, x, "left"), np.searchsorted(self.hashes, x, "right")
+        n = high - low
+        return np.bincount(self.owner[np.repeat(low, n) + ranges(n)], minlength=len(self.which))
+
+
+def spanning(sets: list[np.ndarray], hi: np.ndarray, lo: np.ndarray) -> list[tuple[int, int]]:
+    """Links (by position) that span the components of all pairs that are alike."""
+    sizes, left, out = np.array([len(x) for x in sets]), np.ones(len(sets), bool), []
+    index = Inverted(sets, np.arange(len(sets)))
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            i = queue.pop()
+            if 2 * left.sum() < len(index.which):
+                index = Inverted(sets, np.flatnonzero(left))
+            at = index.which
+            # sets whose sizes differ by more cannot be 0.8 alike
+            ok = left[at] & (NEAR_OF * np.minimum(sizes[at], sizes[i]) >= NEAR_IN * np.maximum(sizes[at], sizes[i]))
+            ok[ok] = chained(np.append(hi[at[ok]], hi[i]), np.append(lo[at[ok]], lo[i]), -1)[:-1]
+            if not ok.any():
+                continue
+            alike = ok & ((NEAR_IN + NEAR_OF) * index.common(sets[i]) >= NEAR_IN * (sizes[at] + sizes[i]))
+            near = at[alike].tolist()
+            left[near] = False
+            out += [(i, j) for j in near]
+            queue += near
+    return out
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,40 +162,58 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column("set"), lists(shingles(texts(b)))], names=["set", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("set"), b.column("hi"), b.column("lo"), lists(shingles(texts(b)))], names=["set", "hi", "lo", "x"])
+
+    def link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (head, chunk); one chunk's sets are held at a time."""
+        now, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            found = spanning([r[3] for r in rows], *(np.array([r[k] for r in rows], np.int64) for k in (1, 2))) if len(rows) > 1 else []
+            pairs = [sorted((rows[i][0], rows[j][0])) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in sliced(batches):
+            x = b.column("x")
+            flat, cut = x.values.to_numpy(zero_copy_only=False).view(U64), x.offsets.to_numpy()
+            for i, (key, name, hi, lo) in enumerate(zip(zip(b.column("head").to_pylist(), b.column("chunk").to_pylist()), *(b.column(c).to_pylist() for c in ("set", "hi", "lo")))):
+                if key != now:
+                    if rows:
+                        yield close()
+                    now, rows = key, []
+                rows.append((name, hi, lo, flat[cut[i] : cut[i + 1]].copy()))
+        if rows:
+            yield close()
 
     fps = durable(named.mapInArrow(print_rows, "doc_id long, text_hash long, set long, n long, hi long, lo long, keys array<long>"))
     distinct = durable(fps.groupBy("set").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id", "n", "hi", "lo", "keys")).alias("p")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) of sets that have at least 0.8 of their union in common."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct()
-        wanted = distinct.select("set", "p.text_hash", F.col("p.doc_id").alias("id")).join(apart(wanted, "set"), "set", "left_semi")
-        held = named.join(wanted.withColumnRenamed("text_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-        sets = durable(held.select("set", "text").dropDuplicates(["set"]).mapInArrow(set_rows, "set long, x array<long>"))
-        both = pairs.join(sets.select(F.col("set").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("set").alias("v"), F.col("x").alias("b")), "v")
-        alike = (NEAR_IN + NEAR_OF) * F.size(F.array_intersect("a", "b")) >= NEAR_IN * (F.size("a") + F.size("b"))
-        return durable(both.where(alike).select("u", "v").distinct())
-
-    keyed = distinct.select(F.struct("set", "p.n", "p.hi", "p.lo").alias("t"), F.explode("p.keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    heads = keyed.groupBy("key").agg(F.min("t").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = durable(keyed.join(apart(heads, "key"), "key"))
-    # sets whose sizes differ by more cannot be 0.8 alike
-    near = lambda a, b: (NEAR_OF * F.least(a["n"], b["n"]) >= NEAR_IN * F.greatest(a["n"], b["n"])) & chained(a, b)
-    star = (F.col("head.set") < F.col("t.set")) & near(F.col("head"), F.col("t"))
-    stars = durable(shared.where(star).select(F.col("head.set").alias("u"), F.col("t.set").alias("v")).distinct())
-    first = confirmed(stars)
-    # a set's label is its least head's least head; sets of one cluster that differ in it are only checked once more
-    head = first.groupBy(F.col("v").alias("set")).agg(F.min("u").alias("head"))
-    above = head.select(F.col("set").alias("head"), F.col("head").alias("top"))
-    label = durable(head.join(apart(above, "head"), "head", "left").select("set", F.coalesce("top", "head").alias("root")))
-    labelled = shared.select("key", "t", F.col("t.set").alias("set")).join(apart(label, "set"), "set", "left").select("key", "t", F.coalesce("root", "set").alias("label"))
-    mixed = durable(labelled.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high"))
-    a, b = (mixed.select("key", F.col("t").alias("t" + side), F.col("label").alias("label" + side)) for side in "ab")
-    rest = a.join(apart(b, "key"), "key").where((F.col("ta.set") < F.col("tb.set")) & (F.col("labela") != F.col("labelb")) & near(F.col("ta"), F.col("tb")))
-    rest = durable(rest.select(F.col("ta.set").alias("u"), F.col("tb.set").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"))
-    roots = components(first.union(confirmed(rest))).withColumnRenamed("node", "set")
+    keyed = distinct.select("set", F.explode("p.keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("set").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = durable(keyed.join(apart(heads, "key"), "key").select("head", "set").distinct())
+    # the head is a member by its own keys; a group's chunks are even, and the head is in each of them
+    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    members = members.join(apart(sizes, "head"), "head").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    wanted = distinct.select("set", "p.hi", "p.lo", "p.text_hash", F.col("p.doc_id").alias("id")).join(apart(members.select("set").distinct(), "set"), "set", "left_semi")
+    held = named.join(wanted.withColumnRenamed("text_hash", "hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    sets = durable(held.select("set", "hi", "lo", "text").dropDuplicates(["set"]).mapInArrow(set_rows, "set long, hi long, lo long, x array<long>"))
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Links within the chunks (head, chunk) that sets are dealt to."""
+        rows = dealt.join(apart(sets, "set"), "set").select("head", "chunk", "set", "hi", "lo", "x")
+        return durable(rows.repartition("head", "chunk").sortWithinPartitions("head", "chunk", "set").mapInArrow(link_rows, "u long, v long").distinct())
+
+    dealt = members.select("head", "set", F.explode(F.when(F.col("head") == F.col("set"), every).otherwise(F.array("chunk"))).alias("chunk"))
+    links = linked(dealt)
+    several = members.where("chunks > 1")
+    if not several.isEmpty():
+        label = components(links).withColumnRenamed("node", "set")
+        named_ = durable(several.join(apart(label, "set"), "set", "left").select("head", "set", "chunk", "chunks", F.coalesce("root", "set").alias("label")))
+        largest = named_.groupBy("head", "label").agg(F.count("*").alias("n")).groupBy("head").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        named_ = named_.join(apart(largest, "head"), "head")
+        links = links.union(linked(named_.select("head", "set", F.explode(F.when(F.col("label") == F.col("largest"), F.array("chunk")).otherwise(every)).alias("chunk"))))
+    roots = components(links).withColumnRenamed("node", "set")
     of_set = distinct.select("set", "least").join(apart(roots, "set"), "set", "left").select("set", F.coalesce("root", "set").alias("component"), "least")
     least = of_set.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = of_set.select("set", "component").join(apart(least, "component"), "component")
