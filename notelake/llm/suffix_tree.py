@@ -43,16 +43,50 @@ END = U64(0x5EED0FE4D0FDA7A1)
 ADD = 0.1
 
 
+def planes(x: np.ndarray) -> tuple:
+    """An array as (type, whether whole numbers stand for floats, bytes): first bytes of all numbers, then second ones, and so on."""
+    kind = x.dtype.str
+    whole = kind == "<f4" and bool((x < 1 << 24).all()) and bool((x >= 0).all()) and bool((x == np.rint(x)).all())
+    x = np.ascontiguousarray(x.astype(np.uint32) if whole else x)
+    return kind, whole, x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+    return zstandard.compress(pickle.dumps([x if x.dtype == object else planes(x) for x in arrays], 5), 1)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return pickle.loads(zstandard.decompress(data))
+    out = []
+    for x in pickle.loads(zstandard.decompress(data)):
+        if isinstance(x, tuple):
+            kind, whole, raw = x
+            held = np.dtype(np.uint32 if whole else kind)
+            x = np.frombuffer(raw, np.uint8).reshape(held.itemsize, -1).T.copy().view(held).ravel().astype(np.dtype(kind), copy=False)
+        out.append(x)
+    return out
+
+
+def steps(x: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Ascending numbers of each group as the first and the differences."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    first = (np.cumsum(per, dtype=np.int64) - per)[per > 0]
+    out[first] = x[first]
+    return out
+
+
+def summed(d: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """What ``steps`` was given."""
+    if not len(d):
+        return d
+    every = np.cumsum(d, dtype=np.uint32)
+    some = per[per > 0]
+    first = np.cumsum(some, dtype=np.int64) - some
+    return every - np.repeat(every[first] - d[first], some)
 
 
 def total(of: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -78,8 +112,15 @@ class Block:
             self.count = unpack(fetch(folder, f"{name}-1"))[0]
             self.g.append(self.count[self.word_of].astype(np.float32))
         for k in range(2, length + 1):
-            for to, x in zip((self.g, self.many, self.kinds), unpack(fetch(folder, f"{name}-{k}"))):
-                to.append(x)
+            self.add(*unpack(fetch(folder, f"{name}-{k}")))
+
+    def add(self, g: np.ndarray, many: np.ndarray, kinds: np.ndarray) -> None:
+        """What a length's file holds; for contexts of one word it has one value for each word of the block."""
+        if len(self.g) == 1:
+            has, word = self.pos >= 1, before(self.word_of)
+            many, kinds = has & many[word], np.where(has, kinds[word], np.float32(0))
+        for to, x in zip((self.g, self.many, self.kinds), (g, many, kinds)):
+            to.append(x)
 
 
 def before(x: np.ndarray) -> np.ndarray:
@@ -91,7 +132,7 @@ class Asked:
     """What a block asks about contexts of ``length`` words, in the order in which it is asked."""
 
     def __init__(self, b: Block, length: int, all_tokens: int, least: int, split: int, buckets: int):
-        self.b = b
+        self.b, self.buckets = b, buckets
         self.n = before(b.g[length - 1])
         self.n[b.pos < length] = 0
         self.active = (self.n >= least) & b.many[length - 1]
@@ -137,7 +178,10 @@ class Asked:
         for i in range(len(self.full)):
             c = slice(self.cut[i], self.cut[i + 1])
             p = slice(self.pair_ends[c.start], self.pair_ends[c.stop])
-            rows.append(pack(self.keys[c], self.contexts[c], self.suffix[c], self.single[c], self.per[c], self.pairs[p].astype(np.uint32), self.pair_count[p], self.pair_suffix[p]))
+            # a context that is whole is its own key
+            contexts = self.contexts[c] if self.full[i] >= self.buckets else self.contexts[:0]
+            x = steps(self.pairs[p].astype(np.uint32), self.per[c])
+            rows.append(pack(self.keys[c], contexts, self.suffix[c], self.single[c], self.per[c], x, self.pair_count[p], self.pair_suffix[p]))
         return pa.table({"bucket": pa.array(self.full, pa.int64()), "block": pa.array([self.b.name] * len(rows), pa.string()), "data": pa.array(rows, pa.binary())})
 
     def answered(self, buckets: list[int], replies: list[bytes]) -> None:
@@ -152,12 +196,13 @@ class Asked:
         g = np.where(self.n < 2, b.train, np.where(b.g[-1] > 0, self.n, 0)).astype(np.float32)
         g[self.at] = np.where(self.known[self.at], b.train[self.at], 0)
         g[self.at[~self.known[self.at]]] = count[self.pair_of]
-        many, held = np.zeros(len(g), bool), np.zeros(len(g), np.float32)
-        many[self.at] = kinds[self.of] >= 2
-        held[self.at] = np.where(kept, kinds, 0)[self.of]
+        by_word = len(b.g) == 1
+        many, held = np.zeros(len(b.words) if by_word else len(g), bool), np.zeros(len(b.words) if by_word else len(g), np.float32)
+        at = before(b.word_of)[self.at] if by_word else self.at
+        many[at] = kinds[self.of] >= 2
+        held[at] = np.where(kept, kinds, 0)[self.of]
         put(b.folder, f"{b.name}-{len(b.g) + 1}", pack(g, many, held))
-        for to, x in zip((b.g, b.many, b.kinds), (g, many, held)):
-            to.append(x)
+        b.add(g, many, held)
 
 
 REQUEST, REPLY = "bucket long, block string, data binary", "block string, bucket long, data binary"
@@ -171,6 +216,9 @@ class Merged:
     def __init__(self, t: pa.Table):
         self.blocks = t.column("block").to_pylist()
         rows = [unpack(d) for d in t.column("data").to_pylist()]
+        for r in rows:
+            r[1] = r[1] if len(r[1]) else r[0]
+            r[5] = summed(r[5], r[4])
         self.sizes = [(len(r[0]), len(r[5])) for r in rows]
         keys, contexts, suffix, single, per, x, n, pair_suffix = (np.concatenate(c) for c in zip(*rows))
         self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
@@ -268,7 +316,12 @@ def score(docs: DataFrame, *, held_out, least: int = 2, nats: float = 4.0, depth
             x = np.full(len(of) + len(raw), END, U64)
             x[np.arange(len(of)) + of] = w.hash
             train = np.array([i is not None and not held_out(i) for i in ids], bool)
-            words, word_of = np.unique(x, return_inverse=True)
+            words, word_of, times = np.unique(x, return_inverse=True, return_counts=True)
+            # frequent words have small numbers
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, word_of = words[order], rank[word_of]
             count = np.bincount(word_of, np.repeat(train, w.lens + 1), len(words)).astype(np.int64)
             name = uuid.uuid4().hex
             put(f"{folder}/blocks", f"{name}-0", pack(np.array(ids, object), w.lens + 1, train, words, word_of.astype(np.uint32)))
@@ -357,10 +410,9 @@ def scored(folder: str, name: str, all_tokens: int, all_kinds: int) -> pa.Record
     files, root = store(folder)
     length = 2
     while files.get_file_info(f"{root}/{name}-{length}").type != fs.FileType.NotFound:
-        g, _, kinds = unpack(fetch(folder, f"{name}-{length}"))
-        n = before(b.g[0])
+        b.add(*unpack(fetch(folder, f"{name}-{length}")))
+        n, g, kinds = before(b.g[-2]), b.g[-1], b.kinds[-1].astype(np.float64)
         p = np.where(kinds > 0, (g + kinds * p) / np.maximum(n + kinds, 1), p)
-        b.g[0] = g
         length += 1
     first = np.cumsum(b.lens) - b.lens
     sums = lambda x: pa.array(np.add.reduceat(x, first))
