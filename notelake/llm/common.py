@@ -50,17 +50,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def tidy(spark: SparkSession):
-    """Actions inside leave no shuffle files behind; the session's setting comes back at the end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting for the actions inside; the session's own comes back at the end."""
     was = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if was is None else spark.conf.set(name, was)
 
 
+def tidy(spark: SparkSession):
+    """Actions inside leave no shuffle files behind."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 1500):
+    """Actions inside send texts to Python in batches of few rows."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def store(folder: str):
     """(file system, path) of a folder on any file system that pyarrow knows."""
     from pyarrow import fs

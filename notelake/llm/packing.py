@@ -37,7 +37,9 @@ TERMS, K1, B = 1 << 18, 1.2, 0.75
 SHARD_IDS, SHARD_DOCS = 1_000_000, 1500
 #: Clusters are BRANCH by BRANCH, of vectors of so many hashed words; bytes of text in a part, parts at
 #: most, and sampled places for each part.
-BRANCH, WIDTH, PART_BYTES, PARTS, PLACES = 8, 1024, 24 << 20, 1 << 16, 40
+BRANCH, WIDTH, PART_BYTES, PARTS, PLACES = 8, 1024, 16 << 20, 1 << 16, 40
+#: Pieces that a worker remembers: JVM and Python share an executor's memory with the sort of a part.
+REMEMBERED = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -204,7 +206,7 @@ def routed(docs: DataFrame, sample: int) -> DataFrame:
     routes = spark.sparkContext.broadcast(Routes(seen))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 1000):
+        for b in sliced(batches, 500):
             at = routes.value.places(Words(texts(b), fold=True), b.column("row").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=["doc_id", "text", "row", "place"])
 
@@ -233,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 4096, end_id: int = 2
     """Pieces of documents in sequences of ``window`` ids: ``ids`` has a piece's ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaces_kept)
+        enc = encoder(tokenizer, spaces_kept, REMEMBERED)
         base = TaskContext.get().partitionId() << 40
         made = 0
         ids: list = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, partitions, put, sliced
+from .common import durable, fresh_path, partitions, put, sliced, small_batches
 from .huffman import SEGMENT, Code, ranges
 from .tokens import encoder
 
@@ -75,7 +75,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 0, spaces
     held = fresh_path(spark, "ids")
     store, p = folder(spark, path)
     store.mkdirs(p)
-    tokenised(docs, tokenizer, end_id, spaces_kept, id_col, text_col).write.option("compression", "zstd").parquet(held)
+    with small_batches(spark):
+        tokenised(docs, tokenizer, end_id, spaces_kept, id_col, text_col).write.option("compression", "zstd").parquet(held)
     ids = spark.read.parquet(held)
     code = spark.sparkContext.broadcast(global_counts(ids))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [1.0], max(10_000, 10 * n))).first()[0] or []

@@ -81,10 +81,11 @@ class HashIndex:
 
 
 class Encoder:
-    def __init__(self, path: str, spaces_kept: bool):
+    def __init__(self, path: str, spaces_kept: bool, most: int = MOST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = most
         self.t, self.kept = Tokenizer.from_file(path), spaces_kept
         #: In a text with one of these the library looks for borders on each side of it.
         self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
@@ -170,7 +171,7 @@ class Encoder:
 
     def __call__(self, texts: list[str], terms: bool = False) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """(ids, hashes of the pieces or None) of each text."""
-        if self.index.n > MOST:
+        if self.index.n > self.most:
             self.reset()
         odd = [ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
         w = Words([b"" if o else t.encode() for t, o in zip(texts, odd)])
@@ -221,11 +222,13 @@ def hash_space(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(b"\n" + x.tobytes()) or 1
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, spaces_kept: bool) -> Encoder:
+def encoder(path: str, spaces_kept: bool, most: int = MOST) -> Encoder:
     """One encoder for each Python worker."""
-    if (path, spaces_kept) not in _encoders:
-        _encoders[path, spaces_kept] = Encoder(path, spaces_kept)
-    return _encoders[path, spaces_kept]
+    key = path, spaces_kept, most
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
