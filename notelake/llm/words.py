@@ -60,6 +60,29 @@ class Words:
             self._hash(some, prefixes)
         self.lens = np.diff(np.append(0, np.searchsorted(self.start, self.borders)))
 
+    def trim(self, marks: np.ndarray, strip: bytes) -> Words:
+        """Take marked bytes off both ends of each word; what is left empty is no word. ``strip`` has the marked bytes."""
+        start, end = self.start.copy(), self.end.copy()
+        for _ in range(64):
+            low = np.flatnonzero((start < end) & marks[self.buffer[np.minimum(start, len(self.buffer) - 1)]]) if len(start) else start
+            high = np.flatnonzero((start < end) & marks[self.buffer[np.maximum(end - 1, 0)]]) if len(start) else start
+            if not len(low) and not len(high):
+                break
+            start[low] += 1
+            end[high] = np.maximum(end[high] - 1, start[high])
+        else:  # longer runs of marks than words have
+            for i in np.union1d(low, high).tolist():
+                word = self.buffer[start[i] : end[i]].tobytes()
+                start[i] += len(word) - len(word.lstrip(strip))
+                end[i] = start[i] + len(word.strip(strip))
+        left = start < end
+        of = np.repeat(np.arange(len(self.lens)), self.lens)[left]
+        self.start, self.end, self.lens = start[left], end[left], np.bincount(of, minlength=len(self.lens))
+        self.hash, self.heads = np.zeros(len(self.start), U64), []
+        for low in range(0, len(self.start), PIECE // 8):
+            self._hash(slice(low, low + PIECE // 8), ())
+        return self
+
     def eight(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The first min(size, 8) bytes from each place on, as numbers."""
         word, shift = at >> 3, ((at & 7) << 3).astype(U64)
