@@ -37,9 +37,9 @@ TERMS, K1, B = 1 << 18, 1.2, 0.75
 SHARD_IDS, SHARD_DOCS = 1_000_000, 1500
 #: Clusters are BRANCH by BRANCH, of vectors of so many hashed words; bytes of text in a part, parts at
 #: most, and sampled places for each part.
-BRANCH, WIDTH, PART_BYTES, PARTS, PLACES = 8, 1024, 16 << 20, 1 << 16, 40
+BRANCH, WIDTH, PART_BYTES, PARTS, PLACES = 8, 1024, 12 << 20, 1 << 16, 40
 #: Pieces that a worker remembers: JVM and Python share an executor's memory with the sort of a part.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -205,29 +205,29 @@ def routed(docs: DataFrame, sample: int) -> DataFrame:
     seen = [np.frombuffer(r.terms, np.uint32).astype(np.int64) for r in sorted(rows)]
     routes = spark.sparkContext.broadcast(Routes(seen))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 500):
-            at = routes.value.places(Words(texts(b), fold=True), b.column("row").to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=["doc_id", "text", "row", "place"])
+    schema, cuts = "doc_id long, text string, row long, place long, part int", np.zeros(0, np.int64)
+
+    def placing(cuts: np.ndarray):
+        # the part is found here too: a second function would be a second Python process for each task
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches, 500):
+                at = routes.value.places(Words(texts(b), fold=True), b.column("row").to_numpy())
+                part = np.searchsorted(cuts, at, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64()), pa.array(part)], names=["doc_id", "text", "row", "place", "part"])
+
+        return place
 
-    placed = docs.withColumn("row", row).mapInArrow(place, "doc_id long, text string, row long, place long")
     if parts > 1:
         # even parts by the places of PLACES rows for each part, of which only these longs are collected; equal texts differ in the last bits
         want = PLACES * parts
         some = docs.withColumn("row", row).where(F.pmod(F.col("row"), F.lit(1 << 30)) < int(min(1.0, 2 * want / n) * (1 << 30)))
-        known = some.mapInArrow(place, "doc_id long, text string, row long, place long").select("place").limit(want).collect()
+        known = some.mapInArrow(placing(cuts), schema).select("place").limit(want).collect()
         known = np.sort(np.array([r.place for r in known], np.int64))
-        cuts = known[np.linspace(0, len(known), parts + 1)[1:-1].astype(np.int64)]
-
-        @F.pandas_udf("int")
-        def part(at):
-            import pandas as pd
-
-            return pd.Series(np.searchsorted(cuts, at.to_numpy(), side="right").astype(np.int32))
+        if len(known):  # a table of one repeated row may have none in the sample; its rows have one place anyway
+            cuts = known[np.linspace(0, len(known), parts + 1)[1:-1].astype(np.int64)]
 
-        placed = placed.withColumn("part", part("place")).repartitionById(parts, "part")
-    else:
-        placed = placed.repartition(1)
+    placed = docs.withColumn("row", row).mapInArrow(placing(cuts), schema)
+    placed = placed.repartitionById(parts, "part") if parts > 1 else placed.repartition(1)
     return placed.sortWithinPartitions("place", "row", "doc_id").select("doc_id", "text")
 
 
