@@ -114,7 +114,9 @@ def sample_findings(spark: SparkSession, n: int = 5400) -> DataFrame:
     # what stands before an assignment says nothing about its value
     lead = F.element_at(F.array(*[F.lit(w) for w in ("", "", "see ", "set ", "the ", "file ", "version ", "id ")]), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(8)).cast("int") + 1)
     one = lambda k: F.coalesce(*[F.when(at == j, kind[k] if k < 2 else F.lit(kind[k])) for j, kind in enumerate(kinds)])
-    return spark.range(n, numPartitions=1).select(one(0).alias("value"), F.when(one(1).rlike(rf"(?i)^(?:{NAMES}|db_).*[:=]"), F.concat(lead, one(1))).otherwise(one(1)).alias("before"), F.when(one(1).rlike("[\"']$"), pick('"', "'", '" the', "',")).when(one(1).contains("://"), F.lit("@host.example/db")).otherwise(pick(" and", "", '" the', ".")).alias("behind"), pick("src/a.py", "tests/a.py", "", "docs/a.md").alias("path"), one(2).alias("secret"))
+    # the choices are columns before they are looked at, so that each is one expression
+    made = spark.range(n, numPartitions=1).select("id", one(0).alias("value"), one(1).alias("b"), one(2).alias("secret"))
+    return made.select("value", F.when(F.col("b").rlike(rf"(?i)^(?:{NAMES}|db_).*[:=]"), F.concat(lead, F.col("b"))).otherwise(F.col("b")).alias("before"), F.when(F.col("b").rlike("[\"']$"), pick('"', "'", '" the', "',")).when(F.col("b").contains("://"), F.lit("@host.example/db")).otherwise(pick(" and", "", '" the', ".")).alias("behind"), pick("src/a.py", "tests/a.py", "", "docs/a.md").alias("path"), "secret")
 
 
 class Forest:
