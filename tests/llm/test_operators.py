@@ -586,6 +586,23 @@ def test_ranks_against_brute_force(spark):
             assert abs(got.get(h, (0, 0))[k] - rank[h]) < 1e-12
 
 
+def test_rounds_of_ranks_are_few_jobs(spark, monkeypatch):
+    """What a round plans and shuffles is held by the driver; edges of heavy hosts give the same ranks."""
+    links = lambda i: "".join(f'<a href="http://h{j}.org/">' for j in {(i * i + 1) % 23, (3 * i + 2) % 23, 0})
+    pages = spark.createDataFrame([(f"h{i}.org", "allow" if i == 5 else "block" if i == 7 else None, links(i)) for i in range(23)], "host string, verdict string, html string")
+    known = url_filter.with_links(pages).localCheckpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("ranks", "")
+    try:
+        light = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(known, RULES).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("ranks")) < 160
+    monkeypatch.setattr(url_filter, "HEAVY", 3)
+    heavy = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(known, RULES).collect()}
+    assert light.keys() == heavy.keys() and all(abs(x - y) < 1e-12 for h in light for x, y in zip(light[h], heavy[h]))
+
+
 def brute_scores(rows, held_out, depth, nats):
     """The model by plain counting; also the greatest length of a kept context."""
     toks = [(d, [*(t or "").encode().lower().split(), None], d is None or held_out(d)) for d, t in rows]
