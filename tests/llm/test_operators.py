@@ -636,6 +636,22 @@ def brute_scores(rows, held_out, depth, nats):
     return out, max(map(len, kept), default=0)
 
 
+def test_suffix_tree_asks_only_what_can_be_kept():
+    """No divergence reaches 4 nats with 3 occurrences under 11 of the suffix, nor with fewer of either."""
+    from types import SimpleNamespace
+
+    n, above = np.array([3, 3, 2, 2, 10, 10, 11], np.float32), np.array([11, 12, 14, 15, 10, 11, 11], np.float32)
+    best = [max(m * np.log(s / m) for m in range(1, int(k) + 1)) for k, s in zip(n, above)]
+    assert (suffix_tree.reach(n, above) >= 4).tolist() == [b >= 4 for b in best] == [False, True, False, True, False, True, True]
+    docs = len(n)  # documents of three words, each scored after the context of its first two
+    b = SimpleNamespace(
+        g=[np.stack([np.full(docs, 50), above, np.full(docs, 5)], 1).ravel().astype(np.float32), np.stack([np.zeros(docs), n, np.full(docs, 2)], 1).ravel().astype(np.float32)],
+        many=[np.ones(3 * docs, bool)] * 2, pos=np.tile(np.arange(3), docs), train=np.ones(3 * docs, bool), words=np.arange(3 * docs, dtype=np.uint64), word_of=np.arange(3 * docs), name="b",
+    )
+    asked = suffix_tree.Asked(b, 2, 10_000, 2, 4.0, suffix_tree.SPLIT, 7)
+    assert len(asked.keys) == 4 and (asked.at // 3).tolist() == [1, 3, 5, 6]
+
+
 @pytest.mark.parametrize("split, block", [(suffix_tree.SPLIT, suffix_tree.BLOCK_BYTES), (5, 700)])
 def test_suffix_tree(spark, monkeypatch, split, block):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
