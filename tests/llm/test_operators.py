@@ -303,6 +303,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_few_edges(spark):
+    """One task and rounds agree with brute force, and few edges take a few jobs, not a dozen for each round."""
+    r = np.random.default_rng(8)
+    hub = [(-5000, int(i)) for i in r.integers(-9000, -4000, 40)]
+    edges = [(int(u), int(v)) for u, v in r.integers(0, 400, (260, 2))] + hub + [(900 - i, 901 - i) for i in range(90)] + [(2**62, -(2**62)), (7, 7)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        was = dict(root)
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+        if root == was:
+            break
+    df = spark.createDataFrame(edges, "u long, v long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    got = {x.node: x.root for x in components(df).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == root and len(jobs) <= 8
+    assert {x.node: x.root for x in components(df, most=0).collect()} == root
+
+
 def test_similar(spark):
     r = np.random.default_rng(4)
     base = [str(w) for w in r.choice(10**6, 400)]
