@@ -61,8 +61,10 @@ class Routes:
         #: A word that no other sampled document has gets little weight: it may be alone.
         self.weight = np.where(df > 1, np.log1p(n / np.maximum(df, 1)), 0.05).astype(np.float32)
         draw = (mix(np.arange(1, TERMS + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)) >> U64(11)).astype(np.float64) / (1 << 53)
-        #: The least of these wins.
-        self.race = -np.log(np.maximum(draw, 1e-300)) / self.weight
+        #: Each word's place in a race, whose first win.
+        self.rank = np.empty(TERMS, np.int64)
+        self.winners = np.argsort(-np.log(np.maximum(draw, 1e-300)) / self.weight, kind="stable")
+        self.rank[self.winners] = np.arange(TERMS)
         self.centres = np.zeros((1, WIDTH))
         if n:
             of = np.repeat(np.arange(n), [len(s) for s in sample])
@@ -82,10 +84,14 @@ class Routes:
         of, term = distinct_terms(w)
         n = len(w.lens)
         leaf = nearest(self.vectors(of, term, n), self.centres)
-        order = np.lexsort((self.race[term], of))
-        count = np.bincount(of, minlength=n)
-        first = np.cumsum(count) - count
-        drawn = [np.where(count > k, term[order[np.minimum(first + k, max(len(order) - 1, 0))]] if len(order) else 0, 0) for k in (0, 1)]
+        count, rank = np.bincount(of, minlength=n), self.rank[term]
+        has, drawn = count > 0, np.zeros((2, n), np.int64)
+        first = (np.cumsum(count) - count)[has]
+        for k in (0, 1):
+            if len(first):
+                least = np.minimum.reduceat(rank, first)
+                drawn[k, has] = np.where(least < TERMS, self.winners[np.minimum(least, TERMS - 1)], 0)
+                rank = np.where(rank == np.repeat(least, count[has]), TERMS, rank)
         return (leaf << 56) | (drawn[0] << 38) | (drawn[1] << 20) | (mix(rows.view(U64)) >> U64(44)).astype(np.int64)
 
 

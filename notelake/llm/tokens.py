@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from codecs import charmap_decode
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,6 +28,8 @@ PUNCTUATION = ".,;:!?*%$&#()"
 #: The characters by which these models know the 256 bytes: printable ones stand for themselves, others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: The same as one string, by byte.
+SHOWN = "".join(chr(BYTES.get(b, b)) for b in range(256))
 #: Pieces that are remembered at most, and the bytes of the longest; beyond that number, all are forgotten.
 MOST, SHORT = 1_600_000, 48
 
@@ -125,27 +127,39 @@ class Encoder:
 
     def encode(self, pieces: list[str]) -> None:
         """Add the ids of pieces at the end; letters and the punctuation behind them are never in one token."""
-        tokenize, got, rest = self.t.model.tokenize, [None] * len(pieces), []
+        tokenize, kept, rest = self.t.model.tokenize, self.kept, []
+        # ids of all pieces lie in one list, as a list for each would be work for the collector
+        flat: list[int] = []
+        ends: list[int] = []
         for i, p in enumerate(pieces):
-            body = p.rstrip(PUNCTUATION)
-            core = body[1:] if self.kept and body[:1] == " " else body
-            if not core.isalpha() or not core.isascii() and not (is_normalized("NFC", core) and "Σ" not in core and core.lower().isalpha()):
-                rest.append(i)
-                continue
-            tail = p[len(body) :]
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails = {"": []}
-                self.tails[tail] = self.t.encode(tail, add_special_tokens=False).ids
+            core = p[1:] if kept and p[:1] == " " else p
+            tail, body = "", p
+            if not (core.isascii() and core.isalpha()):
+                body = p.rstrip(PUNCTUATION)
+                core = body[1:] if kept and body[:1] == " " else body
+                if not core.isalpha() or not core.isascii() and not (is_normalized("NFC", core) and "Σ" not in core and core.lower().isalpha()):
+                    rest.append(i)
+                    ends.append(len(flat))
+                    continue
+                tail = p[len(body) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails = {"": []}
+                    self.tails[tail] = self.t.encode(tail, add_special_tokens=False).ids
             # a run of letters is one word to the model, so nothing has to look for borders in it
-            run = body if self.kept else body.lower()
-            got[i] = [k.id for k in tokenize(run.encode().decode("latin-1").translate(BYTES))] + self.tails[tail]
+            run = body if kept else body.lower()
+            flat += [k.id for k in tokenize(charmap_decode(run.encode(), "strict", SHOWN)[0])]
+            if tail:
+                flat += self.tails[tail]
+            ends.append(len(flat))
+        lens = np.diff(np.array([0, *ends]))
+        start = np.array(ends, np.int64) - lens
         for i, e in zip(rest, self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            got[i] = e.ids
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        self.start.extend(self.ids.n + np.cumsum(lens) - lens)
+            start[i], lens[i] = len(flat), len(e.ids)
+            flat += e.ids
+        self.start.extend(self.ids.n + start)
         self.len.extend(lens)
-        self.ids.extend(np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())))
+        self.ids.extend(np.array(flat, np.uint32))
 
     def learn(self, w: Words, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encode and remember short pieces with new, distinct hashes."""

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gc
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -296,6 +297,27 @@ def test_links_keep_every_group(spark, dense):
     assert {v: root.get(v, v) for v in signed} == want
 
 
+def test_new_pieces_cost_no_collection():
+    """Ids of new pieces are the library's, and no list is left for each of them, which set the collector going every 2000 pieces."""
+    r = np.random.default_rng(12)
+    words = ["".join(w) for w in r.choice(list("abcdefghijKLMN"), (30_000, 7))]
+    odd = ["naïve", "Über.", "ΣΑΣ", "日本", "x1", "don't", "(", "end.,", "e\u0301t", "İ", "ß"]
+    for path, kept in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        e, begun = Encoder(token_file(path), kept), []
+        gc.collect()
+        gc.callbacks.append(count := lambda phase, info, begun=begun: begun.append(phase))
+        try:
+            e.encode(words)
+        finally:
+            gc.callbacks.remove(count)
+        assert begun.count("start") <= 2
+        some = words[:300] + odd + [w + ".," for w in words[:50]] + ([" " + w for w in odd + words[:50]] if kept else [])
+        n = e.start.n
+        e.encode(some)
+        got = [e.ids.a[e.start.a[n + i] : e.start.a[n + i] + e.len.a[n + i]].tolist() for i in range(len(some))]
+        assert got == [e.t.encode(x, add_special_tokens=False).ids for x in some]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7), (200, 300), (300, 250)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
