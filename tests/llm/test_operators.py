@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from notelake.llm import huffman, kmeans_tree, packing, secrets, similar, simhash, substring, suffix_tree, token_files, toxicity, url_filter
+from notelake.llm.common import mix
 from notelake.llm.components import components
 from notelake.llm.decontamination import contamination, leaked_udf, tiles
 from notelake.llm.queries import token_file
@@ -696,6 +697,40 @@ def test_suffix_tree_asks_only_what_can_be_kept():
     assert len(asked.keys) == 4 and (asked.at // 3).tolist() == [1, 3, 5, 6]
 
 
+def test_suffix_tree_requests_are_small():
+    """A request takes few bytes for each pair of a context and a next word, and all contexts go in one of two turns."""
+    from types import SimpleNamespace
+
+    word_of = np.minimum(np.random.default_rng(7).zipf(1.2, 300_000), 50_000).astype(np.int64) - 1
+    pair = np.append(0, word_of[:-1] * 50_000 + word_of[1:])
+    g = [np.unique(x, return_inverse=True, return_counts=True) for x in (word_of, pair)]
+    b = SimpleNamespace(
+        g=[(4 * times[of]).astype(np.float32) for _, of, times in g], many=[np.ones(len(pair), bool)] * 2, pos=np.arange(len(pair)), train=np.ones(len(pair), bool), words=np.arange(50_000, dtype=np.uint64), word_of=word_of, name="b",
+    )
+    asked = suffix_tree.Asked(b, 2, 2_000_000, 2, 4.0, suffix_tree.SPLIT, 7)
+    size = lambda t: sum(len(x) for x in t["data"].to_pylist())
+    assert len(asked.pairs) > 50_000 and size(asked.table()) < 8 * len(asked.pairs)
+    asked = suffix_tree.Asked(b, 2, 2_000_000, 2, 4.0, 1000, 7)
+    turns = [asked.table(i, 2) for i in range(2)]
+    buckets = [t["bucket"].to_pylist() for t in turns]
+    assert sorted(buckets[0] + buckets[1]) == asked.table()["bucket"].to_pylist() and max(buckets[0]) >= 7 > max(buckets[1])
+    assert max(map(size, turns)) < 0.9 * size(asked.table())
+
+
+def test_suffix_tree_tells_next_words_apart(spark):
+    """Words whose hashes behind "c" share their first 32 bits."""
+    words = [f"w{i}" for i in range(300_000)]
+    c, *h = Words([" ".join(["c", *words]).encode()]).hash
+    x = (mix(np.array(h) ^ c) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(x)
+    at = np.flatnonzero(np.diff(x[order]) == 0)[0]
+    one, other = words[order[at]], words[order[at + 1]]
+    rows = [(i, " ".join(["c", w] * 8 + ["d"] * 40 + [w, "e"] * 3)) for i, w in enumerate([one, other] * 6)]
+    want = brute_scores(rows, lambda i: i % 5 == 0, 6, 4.0)[0]
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame(spark, rows, False), held_out=lambda i: i % 5 == 0).collect()}
+    assert len(got) == 12 and all(abs(got[d] - want[d][0][5]) < 1e-9 * abs(got[d]) for d in got)
+
+
 @pytest.mark.parametrize("split, block", [(suffix_tree.SPLIT, suffix_tree.BLOCK_BYTES), (5, 700)])
 def test_suffix_tree(spark, monkeypatch, split, block):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
