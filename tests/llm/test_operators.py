@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from notelake.llm import huffman, kmeans_tree, packing, secrets, similar, simhash, substring, suffix_tree, token_files, toxicity, url_filter
-from notelake.llm.common import mix
+from notelake.llm.common import mix, setting
 from notelake.llm.components import components
 from notelake.llm.decontamination import contamination, leaked_udf, tiles
 from notelake.llm.queries import token_file
@@ -648,6 +648,28 @@ def test_rounds_of_ranks_are_few_jobs(spark, monkeypatch):
     assert light.keys() == heavy.keys() and all(abs(x - y) < 1e-12 for h in light for x, y in zip(light[h], heavy[h]))
 
 
+def test_rounds_of_ranks_are_few_tasks(spark, monkeypatch):
+    """Where partitions stay many, each task is an entry in Spark's log and a few files: a round is one stage."""
+    monkeypatch.setattr(url_filter, "PART", 1, raising=False)
+    links = lambda i: [f"h{j}.org" for j in ((i * i + 1) % 23, (3 * i + 2) % 23, 0)]
+    known = spark.createDataFrame([(f"h{i}.org", "allow" if i == 5 else "block" if i == 7 else None, links(i)) for i in range(23)], "host string, verdict string, links array<string>").localCheckpoint()
+    sc, n = spark.sparkContext, 9
+    bus = sc._jsc.sc().listenerBus()
+    with setting(spark, "spark.sql.shuffle.partitions", str(n)), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        sc.setJobGroup("tasks of ranks", "")
+        try:
+            ranks = url_filter.propagate(known, RULES)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+    bus.waitUntilEmpty(30_000)
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("tasks of ranks") for s in track.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := track.getStageInfo(s)))
+    rounds, checks = url_filter.ROUNDS, url_filter.ROUNDS // url_filter.EACH
+    assert 0 < tasks <= n * (rounds + 2 * checks + 30)
+    assert ranks.count() == 23
+
+
 def brute_scores(rows, held_out, depth, nats):
     """The model by plain counting; also the greatest length of a kept context."""
     toks = [(d, [*(t or "").encode().lower().split(), None], d is None or held_out(d)) for d, t in rows]
