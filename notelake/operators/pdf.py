@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WIDE, Y_GAP, X_GAP = 0.8, 2.0, 5.0
 #: Font size over the body's size from which a line is a heading.
@@ -105,11 +107,31 @@ def extractor(backend):
 
 
 def pages(chars: DataFrame, page_width: float) -> DataFrame:
-    """(doc, page, markdown) from ``chars(doc, page, n, text, x0, y0, x1, y1, font_size)``; a page is a bounded group."""
+    """(doc, page, markdown) from ``chars(doc, page, n, text, x0, y0, x1, y1, font_size)``; a page is a bounded group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        rows = [Line(*r) for r in pdf[["text", "x0", "y0", "x1", "y1", "font_size"]].itertuples(index=False)]
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "page": [pdf["page"].iloc[0]], "markdown": [page_text(rows, page_width)]})
-
-    return chars.groupBy("doc", "page").applyInPandas(run, "doc string, page int, markdown string")
+    Python gets the characters of many pages in a batch, page by page, and holds one batch and the page that is open.
+    """
+    names = ["text", "x0", "y0", "x1", "y1", "font_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            done = []
+            numbers = [b.column(n).to_numpy(zero_copy_only=False).tolist() for n in names[1:]]
+            lines = map(Line, b.column("text").to_pylist(), *numbers)
+            for key, line in zip(zip(b.column("doc").to_pylist(), b.column("page").to_pylist()), lines):
+                if key != now:
+                    if held:
+                        done.append((*now, page_text(held, page_width)))
+                    now, held = key, []
+                held.append(line)
+            yield made(done)
+        if held:
+            yield made([(*now, page_text(held, page_width))])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        docs, numbers, texts = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["doc", "page", "markdown"])
+
+    rows = chars.select(F.col("doc").cast("string"), F.col("page").cast("int"), "n", "text", *[F.col(n).cast("double") for n in names[1:]])
+    return rows.repartition("doc", "page").sortWithinPartitions("doc", "page", F.asc_nulls_last("n")).drop("n").mapInArrow(run, "doc string, page int, markdown string")
