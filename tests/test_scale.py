@@ -1,8 +1,10 @@
 """Work that must not grow with the number of groups, and memory that must not grow with the size of a batch."""
 
+from datetime import datetime, timezone
+
 import pytest
 
-from notelake.operators import pdf
+from notelake.operators import limits, pdf
 from notelake.operators.pdf import Line
 
 
@@ -28,3 +30,20 @@ def test_pages_share_batches(spark, tiny_batches):
     want = {(d, p): pdf.page_text([Line(*r[3:]) for r in rows if r[:2] == (d, p)], 200.0) for d, p, *_ in rows}
     found = [((r.doc, r.page), r.markdown) for r in got.collect()]
     assert len(found) == 6 and dict(found) == want
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_bursts_share_batches(spark, tiny_batches, most):
+    """Bursts that cross slices of time and batches are judged as one run of the calls would; none is a batch of its own."""
+    us = [limits.SLICE * s + t for s, near in enumerate([(-900_000, -500_000, 0, 999_999), (), (0,), (-1_000_001, -1, 0, 0, 700_000), (5,)], 1) for t in near]
+    us += [limits.SLICE // 2 + 400_000 * i for i in range(2000)]  # a burst of more than a slice
+    rows = [(k, i, u, None if u is None else datetime.fromtimestamp(u / 1e6, timezone.utc)) for k in ("a", None) for i, u in enumerate([*us, None])]
+    df = spark.createDataFrame([(k, i, t) for k, i, _, t in rows[::-1]], "k string, id long, ts timestamp")
+    got = limits.rate_limit(df, "k", most, id_col="id")
+    assert "FlatMapGroups" not in plan(got)
+    want = {(k, i): True for k, i, u, _ in rows if u is None}
+    for k in ("a", None):
+        calls = sorted((u, i) for x, i, u, _ in rows if x == k and u is not None)
+        want |= {(k, i): ok for (_, i), ok in zip(calls, limits.admit([u for u, _ in calls], most)[0])}
+    found = [((r.k, r.id), r.admitted) for r in got.collect()]
+    assert len(found) == len(rows) and dict(found) == want
