@@ -10,8 +10,11 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,16 +50,48 @@ class TextIndex:
         return rows.where(functools.reduce(lambda x, y: x | y, [F.size(c) > 0 for c in wanted.values()]))
 
 
-def lengths(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, dl), counted in place: lengths need no array of terms."""
-    return chunks.select(F.col(key).alias("chunk_id"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM)).cast("long").alias("dl"))
+def lengths(chunks: DataFrame, text: str = "content", key: str = "chunk_id", *extra: str) -> DataFrame:
+    """(chunk_id, dl) and columns of the chunk, counted in place: lengths need no array of terms."""
+    return chunks.select(F.col(key).alias("chunk_id"), F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM)).cast("long").alias("dl"), *extra)
+
+
+#: Terms that a task turns into postings at once, unless one chunk has more.
+TERMS_AT_ONCE = 1 << 18
 
 
 def postings(chunks: DataFrame, text: str = "content", key: str = "chunk_id", *extra: str) -> DataFrame:
-    """(term, chunk_id, tf, positions, dl) and columns of the chunk."""
+    """(term, chunk_id, tf, positions, dl) and columns of the chunk. A chunk's terms are sorted where the chunk is, so nothing is shuffled."""
     own = chunks.select(F.col(key).alias("chunk_id"), *extra, terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    spread = own.select("chunk_id", *extra, F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("position", "term"))
-    return spread.groupBy("term", "chunk_id", "dl", *extra).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    kinds = dict(own.dtypes)
+    names = ["term", "chunk_id", "dl", *extra, "tf", "positions"]
+    kind = {"term": "string", "dl": "bigint", "tf": "bigint", "positions": "array<int>"} | {c: kinds[c] for c in ("chunk_id", *extra)}
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = b.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = b.column("terms").flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        both = row * len(words.dictionary) + code
+        order = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.diff(both[order], prepend=-1))
+        row, code = row[order][first], code[order][first]
+        ends = np.append(first, len(order))
+        made = {
+            "term": words.dictionary.take(pa.array(code)).cast(pa.string()), "dl": pa.array(sizes[row]), "tf": pa.array(np.diff(ends)),
+            "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32())),
+        }
+        return pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c).take(pa.array(row)) for c in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, lo = np.cumsum(b.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while lo < len(b):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TERMS_AT_ONCE, "right")))
+                yield one(b.slice(lo, hi - lo))
+                lo = hi
+
+    return own.mapInArrow(run, ", ".join(f"`{c}` {kind[c]}" for c in names))
 
 
 def build(chunks: DataFrame, text: str = "content", key: str = "chunk_id") -> TextIndex:

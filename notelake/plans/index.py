@@ -56,8 +56,8 @@ def derive(texts: DataFrame, *, first_id: int = 1, tokenizer: tokens.Tokenizer =
 def search_tables(chunks: DataFrame) -> dict[str, DataFrame]:
     """postings and lengths of chunks."""
     text = "tokenized_content"
-    lengths = bm25.lengths(chunks, text).join(chunks.select("chunk_id", "vault_name", "file_path"), "chunk_id")
-    return {"postings": bm25.postings(chunks, text, "chunk_id", "vault_name", "file_path"), "lengths": lengths}
+    own = ("chunk_id", "vault_name", "file_path")
+    return {"postings": bm25.postings(chunks, text, *own), "lengths": bm25.lengths(chunks, text, *own)}
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 
 import pytest
 
-from notelake.operators import limits, pdf
+from notelake.operators import bm25, limits, pdf
 from notelake.operators.pdf import Line
 
 
@@ -47,3 +47,17 @@ def test_bursts_share_batches(spark, tiny_batches, most):
         want |= {(k, i): ok for (_, i), ok in zip(calls, limits.admit([u for u, _ in calls], most)[0])}
     found = [((r.k, r.id), r.admitted) for r in got.collect()]
     assert len(found) == len(rows) and dict(found) == want
+
+
+def test_postings_stay_where_chunks_are(spark, tiny_batches):
+    texts = {1: "b a b", 2: None, 3: "", 4: "a " * 300_000 + "c", 5: "é É x", 6: "b"}
+    df = spark.createDataFrame([(i, t, f"v{i}") for i, t in texts.items()], "chunk_id long, content string, vault_name string")
+    got = bm25.postings(df, "content", "chunk_id", "vault_name")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in texts.items():
+        for n, word in enumerate((t or "").lower().split()):
+            want.setdefault((word, i, f"v{i}"), []).append(n)
+    size = {i: len((t or "").split()) for i, t in texts.items()}
+    found = [((r.term, r.chunk_id, r.vault_name), r.positions, r.tf, r.dl) for r in got.collect()]
+    assert sorted(f[0] for f in found) == sorted(want) and all(p == want[k] and tf == len(p) and dl == size[k[1]] for k, p, tf, dl in found)
