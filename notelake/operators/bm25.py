@@ -39,15 +39,34 @@ class TextIndex:
     def hits(self, wanted: dict[str, str]) -> DataFrame:
         """(chunk_id, dl, places...) of the chunks that have one of the terms; ``wanted`` names each term's column."""
         none = F.array().cast("array<int>")
+        one = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none)
+        return self.postings.where(F.col("term").isin(list(wanted))).groupBy("chunk_id").agg(F.max("dl").alias("dl"), *[one(t).alias(c) for t, c in wanted.items()])
+
+    def counts(self, phrases: dict[tuple[str, ...], str]) -> tuple[DataFrame, DataFrame]:
+        """(chunk_id, dl, counts...) of the chunks that have one of the phrases, and one row: n_docs, avgdl, and for each count the chunks that have it.
+
+        ``phrases`` names each phrase's column of counts. Over rows, terms stand between spaces of their own in one
+        string, which a pattern for each phrase goes through, so work is in proportion to the text.
+        """
+        some = functools.reduce(lambda x, y: x | y, [F.col(c) > 0 for c in phrases.values()])
+        each = [F.sum((F.col(c) > 0).cast("long")).alias("n" + c) for c in phrases.values()]
         if self.rows is None:
-            one = lambda t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none)
-            return self.postings.where(F.col("term").isin(list(wanted))).groupBy("chunk_id").agg(F.max("dl").alias("dl"), *[one(t).alias(c) for t, c in wanted.items()])
-        # a text without the letters of any term is not split into terms at all
+            places = {t: f"p{i}" for i, t in enumerate(sorted({t for p in phrases for t in p}))}
+            hits = self.hits(places).select("chunk_id", "dl", *[occurrences([F.col(places[t]) for t in p]).alias(c) for p, c in phrases.items()])
+            return hits.where(some), hits.agg(*each).join(self.stats)
+
+        def counted(rows: DataFrame) -> DataFrame:
+            split = rows.select("chunk_id", terms(F.col("text")).alias("terms"))
+            joined = split.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.concat(F.lit(" "), F.array_join("terms", "  "), F.lit(" ")).alias("joined"))
+            pattern = lambda p: f" {p[0]} " + (f"(?= {'  '.join(p[1:])} )" if p[1:] else "")
+            found = [F.when(F.contains("joined", F.lit(f" {'  '.join(p)} ")), F.regexp_count("joined", F.lit(pattern(p)))).otherwise(0).alias(c) for p, c in phrases.items()]
+            # a filter on the counts is not moved below a generator, so a text is gone through once
+            return joined.select("chunk_id", F.inline(F.array(F.struct("dl", *found))))
+
+        # a text without the letters of all terms of any phrase is not split into terms at all
         low = F.lower("text")
-        some = self.rows.where(functools.reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in wanted])).select("chunk_id", terms(F.col("text")).alias("terms"))
-        at = lambda t: F.filter(F.transform("terms", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
-        rows = some.select("chunk_id", F.size("terms").cast("long").alias("dl"), *[at(t).alias(c) for t, c in wanted.items()])
-        return rows.where(functools.reduce(lambda x, y: x | y, [F.size(c) > 0 for c in wanted.values()]))
+        letters = functools.reduce(lambda x, y: x | y, [functools.reduce(lambda x, y: x & y, [F.contains(low, F.lit(t)) for t in p]) for p in phrases])
+        return counted(self.rows.where(letters)).where(some), counted(self.rows).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *each)
 
 
 def lengths(chunks: DataFrame, text: str = "content", key: str = "chunk_id", *extra: str) -> DataFrame:
@@ -121,16 +140,10 @@ def phrase_terms(phrase: str) -> list[str]:
 
 
 def occurrences(positions: list[Column]) -> Column:
-    """How often terms with these position arrays follow each other."""
-    first, rest = positions[0], positions[1:]
-
-    def starts(p: Column) -> Column:
-        ok = F.lit(True)
-        for i, other in enumerate(rest, 1):
-            ok = ok & F.array_contains(other, p + i)
-        return ok
-
-    return F.coalesce(F.size(F.filter(first, starts) if rest else first), F.lit(0))
+    """How often terms with these position arrays follow each other; a term has a position once."""
+    back = lambda p, by: F.transform(p, lambda x: x - by)
+    starts = [positions[0], *[back(p, i) for i, p in enumerate(positions[1:], 1)]]
+    return F.coalesce(F.size(functools.reduce(F.array_intersect, starts)), F.lit(0))
 
 
 def match(index: TextIndex, groups: list[list[str]], *, strict: bool = False) -> DataFrame:
@@ -141,11 +154,8 @@ def match(index: TextIndex, groups: list[list[str]], *, strict: bool = False) ->
     phrases = [tuple(p) for g in parsed for p in g if p]
     if not phrases or any(not any(g) for g in parsed):
         return index.postings.where(F.lit(False)).select("chunk_id", F.lit(0.0).alias("score"))
-    places = {t: f"p{i}" for i, t in enumerate(sorted({t for p in phrases for t in p}))}
     counts = {p: f"f{i}" for i, p in enumerate(dict.fromkeys(phrases))}
-    hits = index.hits(places).select("chunk_id", "dl", *[occurrences([F.col(places[t]) for t in p]).alias(c) for p, c in counts.items()])
-    # one row: for each phrase the number of chunks that have it, and the corpus
-    known = hits.agg(*[F.sum((F.col(c) > 0).cast("long")).alias("n" + c) for c in counts.values()]).join(index.stats)
+    hits, known = index.counts(counts)
     for g in parsed:
         any_of = F.lit(False)
         for p in g:

@@ -1,5 +1,6 @@
 """Work that must not grow with the number of groups, and memory that must not grow with the size of a batch."""
 
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -61,3 +62,20 @@ def test_postings_stay_where_chunks_are(spark, tiny_batches):
     size = {i: len((t or "").split()) for i, t in texts.items()}
     found = [((r.term, r.chunk_id, r.vault_name), r.positions, r.tf, r.dl) for r in got.collect()]
     assert sorted(f[0] for f in found) == sorted(want) and all(p == want[k] and tf == len(p) and dl == size[k[1]] for k, p, tf, dl in found)
+
+
+def test_phrase_of_frequent_words(spark):
+    """Two words that each come 40,000 times in a text took their product before; counts are those of a plain walk."""
+    texts = {1: "of the x " * 40_000, 2: "a a a a b", 3: "often the of-the ofthe", 4: "OF_THE of\n\nthe", 5: None, 6: "the of"}
+    df = spark.createDataFrame(list(texts.items()), "chunk_id long, content string")
+    plain = bm25.build(df)
+    kept = bm25.TextIndex(plain.postings, plain.stats)
+    asked = {("of", "the"): "f0", ("a", "a"): "f1", ("the",): "f2", ("a", "a", "b"): "f3"}
+    began = time.monotonic()
+    for index in (plain, kept):
+        hits, known = index.counts(asked)
+        got = {r.chunk_id: r[1:] for r in hits.select("chunk_id", "dl", *asked.values()).collect()}
+        assert got == {1: (120_000, 40_000, 0, 40_000, 0), 2: (5, 0, 3, 0, 1), 3: (5, 1, 0, 2, 0), 4: (4, 2, 0, 2, 0), 6: (2, 0, 0, 1, 0)}
+        row = known.first()
+        assert (row.n_docs, row.nf0, row.nf1, row.nf2, row.nf3) == (6, 3, 1, 4, 1) and round(row.avgdl * 6) == 120_016
+    assert time.monotonic() - began < 100
