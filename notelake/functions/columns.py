@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,44 +165,43 @@ def excluded_by(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(path.rlike(g), F.lit(p)) for p, g in known if g], F.lit(None).cast("string"))
 
 
-def snippet(text: Column, query: str, max_lines: int = 5, max_chars: int = 200) -> Column:
-    @F.pandas_udf("string")
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else snippets.snippet(t, query, max_lines, max_chars))
+#: Texts that are Python strings at the same time; the rest of a batch stays as Arrow has it.
+AT_ONCE = 64
 
-    return udf(text)
 
+def in_parts(values: pa.Array, arrow: pa.DataType, f: Callable) -> pa.Array:
+    """``f`` of each value that is not null, a few values at a time."""
+    parts = [pa.array([None if v is None else f(v) for v in values.slice(lo, AT_ONCE).to_pylist()], arrow) for lo in range(0, len(values), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+
+def each(column: Column | str, kind: str, arrow: pa.DataType, f: Callable) -> Column:
+    @F.arrow_udf(kind)
+    def udf(values: pa.Array) -> pa.Array:
+        return in_parts(values, arrow, f)
+
+    return udf(column)
+
+
+def snippet(text: Column, query: str, max_lines: int = 5, max_chars: int = 200) -> Column:
+    return each(text, "string", pa.string(), lambda t: snippets.snippet(t, query, max_lines, max_chars))
 
-def normalise(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else tokens.normalise(t))
 
-    return udf(text)
+def normalise(text: Column) -> Column:
+    return each(text, "string", pa.string(), tokens.normalise)
 
 
 CHUNK = "array<struct<chunk_index int, parent_header string, content string, title string, tags string, frontmatter_date string>>"
+_CHUNK = pa.list_(pa.struct([("chunk_index", pa.int32()), *[(n, pa.string()) for n in ("parent_header", "content", "title", "tags", "frontmatter_date")]]))
 
 
 def chunks(text: Column | str) -> Column:
-    @F.pandas_udf(CHUNK)
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else markdown.chunks(t))
-
-    return udf(text)
+    return each(text, CHUNK, _CHUNK, markdown.chunks)
 
 
 def user_dictionary(parts: Column, entries: set[str]) -> Column:
-    @F.pandas_udf("array<string>")
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else tokens.merge_dictionary(list(t), entries))
-
-    return udf(parts)
+    return each(parts, "array<string>", pa.list_(pa.string()), lambda t: tokens.merge_dictionary(t, entries))
 
 
 def tokenised(text: Column, tokenizer: tokens.Tokenizer = tokens.words, entries: set[str] = frozenset()) -> Column:
-    @F.pandas_udf("string")
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else tokens.tokenised(t, tokenizer, entries))
-
-    return udf(text)
+    return each(text, "string", pa.string(), lambda t: tokens.tokenised(t, tokenizer, entries))

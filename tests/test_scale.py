@@ -1,10 +1,15 @@
 """Work that must not grow with the number of groups, and memory that must not grow with the size of a batch."""
 
 import time
+import tracemalloc
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 
+from notelake.functions import columns as C
+from notelake.functions.snippets import snippet
+from notelake.functions.tokens import normalise
 from notelake.operators import bm25, limits, pdf
 from notelake.operators.pdf import Line
 
@@ -79,3 +84,19 @@ def test_phrase_of_frequent_words(spark):
         row = known.first()
         assert (row.n_docs, row.nf0, row.nf1, row.nf2, row.nf3) == (6, 3, 1, 4, 1) and round(row.avgdl * 6) == 120_016
     assert time.monotonic() - began < 100
+
+
+def test_few_texts_are_strings_at_once():
+    """A batch of 50 MB of texts, of which 10,000 strings were held before; and snippets of plain texts keep no list of places."""
+    values = pa.array(["é" + "x" * 5000] * 10_000 + [None])
+    tracemalloc.start()
+    got = C.in_parts(values, pa.string(), lambda t: normalise(t)[:3])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert len(got) == 10_001 and got[0].as_py() == "éxx" and got[10_000].as_py() is None and C.in_parts(values[:0], pa.string(), str).to_pylist() == []
+    assert held < 5_000_000
+    text = "a" * 200_000
+    before = tracemalloc.get_traced_memory()[0]
+    assert snippet(text, "zz", 3, 5) == "aaaaa…" and snippet("ÀB\nİcd", "D", 0, 9) == "d" and snippet("Àbcd", "C", 0, 9) == "cd"
+    assert tracemalloc.get_traced_memory()[1] - before < 1_500_000
+    tracemalloc.stop()
